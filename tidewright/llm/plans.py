@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.encode import decode, encode
+from tidewright.llm.encode import decode, encode, token_counts
+from tidewright.llm.langid import detect, label_cases
+from tidewright.llm.pack import pack
 from tidewright.sources.tables import table
 
 
@@ -21,5 +23,40 @@ def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", "text").join(ids.select("doc_id", F.size("ids").alias("n_ids")), "doc_id").join(back, "doc_id").select("doc_id", "n_ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_round_trip": p6_round_trip}
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return pack(token_counts(docs), table(spark, d, "container_specs"), docs.count())
+
+
+def p7_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Containers per capacity beside the least number that could hold the tokens."""
+    c = p7_containers(spark, d)
+    out = c.groupBy("spec_name", "capacity_tokens").agg(F.count(F.lit(1)).alias("n_containers"), F.sum("used_tokens").alias("used_tokens"), F.sum("n_docs").alias("n_pieces"), F.avg("fill").alias("mean_fill"))
+    return out.withColumn("least_containers", F.ceil(F.col("used_tokens") / F.col("capacity_tokens")))
+
+
+MOST_LANGUAGES = 1000
+
+
+def _detected(spark: SparkSession, d: str) -> DataFrame:
+    languages = [(r[0], r[1]) for r in table(spark, d, "lang_list").select("lang", "lang_name").filter(F.col("lang").isNotNull()).orderBy("lang").limit(MOST_LANGUAGES).collect()]
+    return detect(table(spark, d, "documents"), languages)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return label_cases(_detected(spark, d))
+
+
+def p8_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Main language and confidence of each document, beside what its label names."""
+    return _detected(spark, d).select("doc_id", "label", "main", F.round("confidence", 4).alias("confidence"), F.size("cells").alias("n_cells"))
+
+
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Language and confidence of each text cell."""
+    cells = _detected(spark, d).select("doc_id", F.explode("cells").alias("c"))
+    return cells.select("doc_id", "c.cell_no", "c.lang", F.round("c.confidence", 4).alias("confidence"), "c.chars")
+
+
+QUERIES = {"p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_containers": p7_containers, "p7_summary": p7_summary, "p8_found": p8_found, "p8_documents": p8_documents, "p8_segments": p8_segments}
 SQL: dict[str, str] = {}
