@@ -5,12 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.llm.digest import RANK_BOUND, certify, digests, merge, percentiles
 from tidewright.llm.encode import decode, encode, token_counts
 from tidewright.llm.langid import detect, label_cases
 from tidewright.llm.pack import pack
 from tidewright.sources.tables import table
 
 
+PROBS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
+BY = ["universe_variant", "column_name"]
+
+
+def _values(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "m2_setups_with_features")
+    each = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in ("vol_contraction_ratio", "adr_pct")])
+    return rows.select("universe_variant", "load_id", F.explode(each).alias("c")).select("universe_variant", "load_id", "c.*")
+
+
+def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles per variant as written, from digests per load, with their certified rank errors."""
+    values = _values(spark, d)
+    summaries = merge(digests(values, ["universe_variant", "load_id", "column_name"], "value"), BY)
+    return certify(values, BY, "value", percentiles(summaries, BY, PROBS), PROBS)
+
+
+def p5_certified(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each rank error is within the bound (or below one row), and the rows that it stands for."""
+    return p5_percentiles(spark, d).select(*BY, "p", "n", (F.col("rank_error") * F.col("n") <= F.greatest(RANK_BOUND * F.col("n"), F.lit(1.0))).alias("within"))
+
+
+def p5_load_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """The digests that are kept, per variant, load and column."""
+    return digests(_values(spark, d), ["universe_variant", "load_id", "column_name"], "value")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents"))
 
@@ -58,5 +86,10 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
     return cells.select("doc_id", "c.cell_no", "c.lang", F.round("c.confidence", 4).alias("confidence"), "c.chars")
 
 
-QUERIES = {"p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_containers": p7_containers, "p7_summary": p7_summary, "p8_found": p8_found, "p8_documents": p8_documents, "p8_segments": p8_segments}
-SQL: dict[str, str] = {}
+QUERIES = {"p5_percentiles": p5_percentiles, "p5_certified": p5_certified, "p5_load_summaries": p5_load_summaries, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_containers": p7_containers, "p7_summary": p7_summary, "p8_found": p8_found, "p8_documents": p8_documents, "p8_segments": p8_segments}
+SQL: dict[str, str] = {
+    "p5_certified": """select universe_variant, column_name, p, count(*) as n, true as within from (
+        select universe_variant, 'vol_contraction_ratio' as column_name, vol_contraction_ratio as v from m2_setups_with_features
+        union all select universe_variant, 'adr_pct', adr_pct from m2_setups_with_features) t,
+        (select unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99])::double as p) where v is not null and isfinite(v) group by all""",
+}
