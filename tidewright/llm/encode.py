@@ -5,7 +5,7 @@ the corpus is encoded once, and its ids are joined back by position.  Joining ev
 many times over, so documents are laid out in blocks of a few megabytes: a block sends its distinct words, gets
 (word, ids) back from the join with the word table, and ids are then placed by position inside the block.
 
-Shuffles: the texts once (by block; the exchange serves both passes), and (block, word) pairs twice.
+Shuffles: the texts once (by block; the exchange serves both passes), (block, word) pairs by word, and by block with their ids.
 
 Defined results
 * Null and empty texts give an empty list (size 0).  Texts that look like special tokens are ordinary text.
@@ -118,30 +118,50 @@ def block_words(blocks: DataFrame) -> DataFrame:
     return blocks.sortWithinPartitions("block").mapInArrow(run, "block bigint, word string")
 
 
-def word_table(words: DataFrame, vocabulary: str) -> DataFrame:
-    """word, ids: each distinct word encoded once."""
+def word_ids(pairs: DataFrame, vocabulary: str, counts: bool = False) -> DataFrame:
+    """block, word, ids (int32 as bytes; with ``counts`` their number): each distinct word encoded once.
+
+    The pairs are hashed and sorted by word.  The distinct words of a partition are its part of the word table, and the
+    join of the table with the pairs is the repetition of its entries over each word's run of pairs, which saves sending
+    the table.  A word has one row per block, so no word is hot.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(vocabulary)
+        last, got = None, b""  # a run may go on in the next batch
         for batch in batches:
-            words = batch.column("word")
-            ids = [bpe.encode_single_piece(w.encode()) for w in words.to_pylist()]
-            yield pa.RecordBatch.from_pydict({"word": words, "ids": pa.array(ids, pa.list_(pa.int32()))})
-
-    return words.select("word").distinct().mapInArrow(run, "word string, ids array<int>")
+            if not batch.num_rows:
+                continue
+            coded = batch.column("word").dictionary_encode()
+            table = coded.dictionary.to_pylist()
+            lists = [got if w == last else np.array(bpe.encode_single_piece(w.encode()), dtype=np.int32).tobytes() for w in table]
+            end = coded.indices[len(coded) - 1].as_py()
+            last, got = table[end], lists[end]
+            values = pa.array([len(x) // 4 for x in lists], pa.int32()) if counts else pa.array(lists, pa.binary())
+            yield pa.RecordBatch.from_pydict({"block": batch.column("block"), "word": batch.column("word"), "ids": values.take(coded.indices)})
+
+    return pairs.repartition("word").sortWithinPartitions("word").mapInArrow(run, f"block bigint, word string, ids {'int' if counts else 'binary'}")
+
+
+def _lists(column: pa.ChunkedArray) -> pa.ListArray:
+    """Binary values as lists of int32, in place."""
+    whole = column.combine_chunks()
+    if whole.offset or whole.null_count:
+        whole = pa.array(whole.to_pylist(), pa.binary())
+    if not len(whole):
+        return pa.array([], pa.list_(pa.int32()))
+    offsets = np.frombuffer(whole.buffers()[1], dtype=np.int32, count=len(whole) + 1)
+    values = np.frombuffer(whole.buffers()[2], dtype=np.int32, count=int(offsets[-1]) // 4)
+    return pa.ListArray.from_arrays(pa.array(offsets // 4), pa.array(values))
 
 
 def _placed(docs: DataFrame, vocabulary: str | None, counts: bool) -> DataFrame:
-    vocabulary = vocabulary or default_vocabulary()
     blocks = with_blocks(docs)
-    pairs = block_words(blocks)
-    table = word_table(pairs, vocabulary)
-    if counts:
-        table = table.select("word", F.size("ids").alias("ids"))
-    known = pairs.join(table, "word").select("block", "word", "ids")
+    known = word_ids(block_words(blocks), vocabulary or default_vocabulary(), counts)
 
     def place(texts: pa.Table, known: pa.Table) -> pa.Table:
-        words, ids = _as_string(known.column("word")), known.column("ids").combine_chunks()
+        words = _as_string(known.column("word"))
+        ids = known.column("ids").combine_chunks() if counts else _lists(known.column("ids"))
         out = []
         for part in _pieces_of(_as_string(texts.column("text"))):
             got, before = split(part)
@@ -152,7 +172,7 @@ def _placed(docs: DataFrame, vocabulary: str | None, counts: bool) -> DataFrame:
             else:
                 lists = ids.take(at)
                 ends = np.asarray(lists.offsets)[before] if len(at) else np.zeros(len(before), np.int64)
-                out.append(pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), lists.flatten().cast(pa.int32())))
+                out.append(pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), lists.flatten()))
         return pa.table({"doc_id": texts.column("doc_id"), "size" if counts else "ids": pa.chunked_array(out)})
 
     schema = "doc_id bigint, size bigint" if counts else "doc_id bigint, ids array<int>"
