@@ -162,4 +162,7 @@ def pack(items: DataFrame, specs: DataFrame, n_items: int, params: PackParams =
         "n_docs": pa.array([], pa.int32()), "used_tokens": pa.array([], pa.int64()), "fill": pa.array([], pa.float64()),
     })
     sized = items.filter(F.col("size") > 0).select("doc_id", F.col("size").cast("bigint").alias("size"))
-    return sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).groupBy("bucket").applyInArrow(run, schema)
+    # rows are small and work per row is large: a fixed number of tasks, which adaptive execution doesn't join
+    tasks = min(buckets, 4 * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    laid = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).repartition(tasks, "bucket")
+    return laid.groupBy("bucket").applyInArrow(run, schema)
