@@ -37,6 +37,7 @@ class Link:
 
 def absent(child: DataFrame, parent: DataFrame) -> DataFrame:
     """Child rows (row_id, key) whose key no parent row (key) has: row_id, reason ``missing``."""
+    child = child.select("row_id", "key")
     keys = parent.select("key").filter(F.col("key").isNotNull()).distinct()
     return child.join(keys, "key", "left_anti").select("row_id", F.lit("missing").alias("reason"))
 
@@ -48,6 +49,7 @@ def absent_at(child: DataFrame, parent: DataFrame) -> DataFrame:
     Parents are first reduced to their earliest start and the earliest start among those without an end, one row
     per key; only children that these two can't decide meet the ended intervals, and do so by a semi-join.
     """
+    child, parent = child.select("row_id", "key", "at"), parent.select("key", "start", "until")
     start = F.coalesce(F.col("start"), F.expr(OLD))
     rows = parent.filter(F.col("key").isNotNull()).select("key", start.alias("start"), "until")
     spans = rows.groupBy("key").agg(F.min("start").alias("first"), F.min(F.when(F.col("until").isNull(), F.col("start"))).alias("open"))

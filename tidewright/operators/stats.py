@@ -84,7 +84,7 @@ class Fit:
         out = []
         for term, b, s in zip(self.terms, self.coef, self.std_err):
             t = b / s if s > 0 else math.nan
-            out.append((term, float(b), float(s), float(t), student_p(t, dof)))
+            out.append((term, float(b), float(s), float(t), float(student_p(float(t), dof))))
         return out
 
 

@@ -47,7 +47,8 @@ def setups(spark: SparkSession, d: str) -> DataFrame:
     """The last load of each setup with its features; tickers in one spelling."""
     rows = table(spark, d, "m2_setups_with_features")
     keep = [c for c in rows.columns if c not in ("setup_id", "load_id", "loaded_at")]
-    last = rows.groupBy("setup_id").agg(F.max(F.struct("load_id", *keep)).alias("r")).select("setup_id", "r.*")
+    ties = [F.coalesce(F.col(c).cast("double"), F.lit(-1e9)).alias(f"_{c}") for c in ("adr_pct", "vol_contraction_ratio", "rs_slope_vs_spy", "base_duration_days")]
+    last = rows.groupBy("setup_id").agg(F.max(F.struct("load_id", "loaded_at", *ties, *keep)).alias("r")).select("setup_id", *[F.col(f"r.{c}").alias(c) for c in keep])
     return last.withColumn("ticker", canonical_ticker(F.col("ticker")))
 
 
@@ -84,5 +85,5 @@ un as (select *, (rank() over (partition by date order by mom_12_1) + (count(*)
 bo as (select * from un where close > prev_high and high > prev_high and volume > 1.1 * vol_avg_20 and daily_range_pct >= 0.005 and adr_20 >= 0.005 and close > sma_20 and close > sma_50)"""
 
 _TICKER = r"nullif(regexp_replace(regexp_replace(upper(ticker), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '[\s\p{Z}]*[./-][\s\p{Z}]*|[\s\p{Z}]+', '.', 'g'), '')"
-SETUPS_SQL = f"st as (select * replace ({_TICKER} as ticker) from m2_setups_with_features qualify row_number() over (partition by setup_id order by load_id desc, ticker desc nulls last) = 1)"
+SETUPS_SQL = f"st as (select * replace ({_TICKER} as ticker) from m2_setups_with_features qualify row_number() over (partition by setup_id order by load_id desc, loaded_at desc, coalesce(adr_pct, -1e9) desc, coalesce(vol_contraction_ratio, -1e9) desc, coalesce(rs_slope_vs_spy, -1e9) desc, coalesce(base_duration_days, -1e9) desc) = 1)"
 FACTORS_SQL = "fa as (select (o_orderdate::date + 7000)::date as date, " + ", ".join(f"(((sum(floor(o_totalprice))::bigint * {k}) % 201) - 100) / 10000 as {n}" for n, k in zip(FACTOR_NAMES, (1, 3, 7, 11))) + " from orders group by 1)"
