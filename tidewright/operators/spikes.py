@@ -9,7 +9,8 @@ Defined results
 * Volume 0 (a halted day) is neither a reading of the volume series nor part of a run.
 * Two deliveries of one bar are judged each by its own values; levels are medians of other bars, taken
   over the delivery loaded last, so neither delivery can hide the other.  Runs are followed both
-  through the first and through the last deliveries.
+  through the first and through the last deliveries, and
+  hold for every delivery of a bar with the same reading.
 * A row without feed or ticker belongs to the series of that null; a row without a date is in no
   series and is judged by the bounds alone.
 * A spike must leave the medians of the bars before and of those after it, to the same side.  A lasting change of level
@@ -35,12 +36,12 @@ class SpikeParams:
     """Parameters of :func:`implausible`."""
 
     half: int = 5  #: bars on either side that give the level
-    price_z: float = 11.0  #: scales that a price must leave its level by
+    price_z: float = 12.5  #: scales that a price must leave its level by
     volume_z: float = 6.0  #: the same for the logarithm of volume
     price_floor: float = 0.004  #: least scale of a log price
     volume_floor: float = 0.20  #: least scale of a log volume
-    volume_least: float = 3.0  #: least departure of a log volume (busy days of a few times the usual are normal)
-    run_chance: float = 2e-3  #: expected number of runs as long as this in the series, below which a run is stuck
+    volume_least: float = 3.5  #: least departure of a log volume (busy days of a few times the usual are normal)
+    run_chance: float = 1e-3  #: expected number of runs as long as this in the series, below which a run is stuck
     run_least: int = 4  #: shortest run that can be stuck
     tile: int = 2048  #: bars of a tile
     halo: int = 64  #: bars repeated beyond a tile's ends; longer than any run_least or half
@@ -164,8 +165,13 @@ def spike_kernel(params: SpikeParams):
         frozen = np.zeros(len(group), dtype=bool)
         active = ~(x["volume"] == 0)
         for c in ("close", "volume"):
+            held = np.zeros(len(group), dtype=bool)
             for ends in (first, last):
-                frozen |= stuck(x[c], group, np.flatnonzero(ends & active), params.run_chance, params.run_least)
+                held |= stuck(x[c], group, np.flatnonzero(ends & active), params.run_chance, params.run_least)
+            # another delivery of the bar with the same reading is as stuck
+            reading = np.full(int(bar[-1]) + 1, np.nan)
+            reading[bar[held]] = x[c][held]
+            frozen |= x[c] == reading[bar]
         frozen &= x["volume"] > 0
         core = t.column("core").to_numpy(zero_copy_only=False)
         keep = core & (spike | frozen)
