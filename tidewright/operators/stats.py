@@ -147,9 +147,10 @@ def residualize(df: DataFrame, y: str, numeric: list[str], train_start: str, tra
     """Usable rows with {y}_resid (and {cap}_w, winsorised at the training p99): fit on the training dates, applied to all rows.
 
     Dummies: sectors but the most frequent of the training rows (of equals the alphabetically first), years but the first.
-    Returns the frame and what was fitted: fit, sector_ref, year_ref, p99, n_train, design.
+    Returns the frame and what was fitted: fit, sector_ref, year_ref, p99, n_train, design and rows.  The fit needs a few passes over the
+    usable rows, which are persisted; info["rows"].unpersist() lets go of them.
     """
-    rows = usable(df.withColumn("year", F.year("date").cast("bigint")), [y, *numeric, sector, "date"])
+    rows = usable(df.withColumn("year", F.year("date").cast("bigint")), [y, *numeric, sector, "date"]).persist()
     train = rows.filter(F.col("date").between(F.lit(train_start).cast("date"), F.lit(train_end).cast("date")))
     sectors, years = categories(train, sector), categories(train, "year")
     if not sectors:
@@ -163,7 +164,7 @@ def residualize(df: DataFrame, y: str, numeric: list[str], train_start: str, tra
     for b, c in zip(fit.coef[1:], design.columns().values()):
         predicted = predicted + F.lit(float(b)) * c
     out = rows.withColumn(f"{y}_resid", F.col(y) - predicted)
-    info = {"fit": fit, "sector_ref": sector_ref, "year_ref": year_ref, "n_train": fit.n, "design": design, "p99": None}
+    info = {"fit": fit, "sector_ref": sector_ref, "year_ref": year_ref, "n_train": fit.n, "design": design, "p99": None, "rows": rows}
     if cap:
         top = exact_quantiles(train, [], cap, [0.99], "nearest").collect()
         info["p99"] = top[0]["quantile"] if top else None

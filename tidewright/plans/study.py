@@ -333,6 +333,7 @@ def walk_forward_r10(spark: SparkSession, d: str) -> DataFrame:
             fitted = out.filter((F.col("date") <= F.lit(end).cast("date")) & finite("vol_contraction_ratio_w") & finite("adr_pct"))
             n_score = out.filter(F.year("date") == year).count()
             pdf = fitted.select("vol_contraction_ratio_w", "adr_pct", "fwd_ret_resid").orderBy("setup_id").limit(quantreg.MOST_ROWS + 1).toPandas()
+            info["rows"].unpersist()
             if len(pdf) < 50 or len(pdf) > quantreg.MOST_ROWS:
                 rows.append((year, info["n_train"], n_score, None, None, None, "none", info["p99"], float(info["fit"].r2), False))
                 continue
