@@ -261,3 +261,15 @@ def detect_setups(candidates: DataFrame, features: DataFrame, params: PatternPar
     """Setups of all variants (UNION ALL), each variant spaced on its own.  OUTPUT columns and series."""
     survivors = quality_score(evaluate(candidates, features, params).filter("passed"), params.drop_most)
     return space_out(choose(survivors, variants), "series", spacing, ("universe_variant",)).select("series", *OUTPUT)
+
+
+def detect_or_relax(candidates: DataFrame, features: DataFrame, params: PatternParams, relaxed: PatternParams, relaxed_candidates: DataFrame | None = None, variant: str = "loose", least: int = 200, **k) -> tuple[DataFrame, bool]:
+    """Setups by ``params``, or by ``relaxed`` if those of one variant are fewer than ``least``; and whether they were relaxed.
+
+    The choice hangs on a count, so this runs a job.
+    """
+    first = detect_setups(candidates, features, params, **k).persist()
+    if first.filter(F.col("universe_variant") == variant).limit(least).count() >= least:
+        return first, False
+    first.unpersist()
+    return detect_setups(relaxed_candidates if relaxed_candidates is not None else candidates, features, relaxed, **k), True

@@ -187,6 +187,7 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     aggs = []
     for a, b in pairs:
-        good = (F.count(F.lit(1)) > 1) & (F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0)
-        aggs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(good, F.corr(a, b)).alias("corr")))
+        # not F.corr, which divides by zero for a constant column in ANSI mode
+        corr = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+        aggs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(F.count(F.lit(1)) > 1, corr).alias("corr")))
     return rows.agg(F.array(*aggs).alias("all")).select(F.explode("all").alias("p")).select("p.*")
