@@ -84,6 +84,11 @@ def test_exact_quantiles_match_numpy(spark, kind):
         want = np.quantile(x, r.prob) if kind == "linear" else x[int(np.floor((len(x) - 1) * r.prob + 0.5))]
         assert r.n == len(x) and r.quantile == pytest.approx(want, abs=1e-12)
     assert exact_quantiles(df.limit(0), ["g"], "v", probs, kind).count() == 0
+    assert exact_quantiles(df.limit(0), [], "v", probs, kind).count() == 0
+    every = np.sort(np.concatenate([np.asarray(v) for v in data.values()]))
+    for r in exact_quantiles(df, [], "v", probs, kind).collect():
+        want = np.quantile(every, r.prob) if kind == "linear" else every[int(np.floor((len(every) - 1) * r.prob + 0.5))]
+        assert r.n == len(every) and r.quantile == pytest.approx(want, abs=1e-12)
 
 
 def loads(spark, broken=None):
