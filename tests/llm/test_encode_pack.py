@@ -55,11 +55,17 @@ def test_ids_equal_the_tokenizer_and_decode(spark, reference):
     assert len(got) == 2 * len(ODD)
     for i, t in enumerate(ODD * 2):
         assert list(got[i]) == reference(t)
-    back = {r.doc_id: r.text for r in decode(ids, spark).collect()}
+    back = {r.doc_id: r.text for r in decode(ids).collect()}
     assert all(back[i] == (t or "") for i, t in enumerate(ODD * 2))
     assert {r.doc_id: r.size for r in token_counts(rows).collect()} == {i: len(x) for i, x in got.items()}
 
 
+def test_decoding_odd_ids(spark):
+    rows = spark.createDataFrame([(1, [0, None, 10**6, -1, 1]), (2, None), (3, []), (4, [0])], "doc_id bigint, ids array<int>")
+    assert [(r.doc_id, r.n_ids, r.text) for r in decode(rows).orderBy("doc_id").collect()] == [(1, 5, '!"'), (2, 0, ""), (3, 0, ""), (4, 1, "!")]
+    assert decode(rows.limit(0)).count() == 0
+
+
 def test_repeated_and_null_documents(spark, reference):
     rows = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (None, None)], "doc_id bigint, text string")
     got = sorted(((r.doc_id or 0), list(r.ids)) for r in encode(rows).collect())

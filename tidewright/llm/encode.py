@@ -22,7 +22,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.words import split
@@ -189,16 +189,39 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return _placed(docs, vocabulary, True)
 
 
-def decode(encoded: DataFrame, spark: SparkSession, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, text of ``encoded`` (doc_id unique, ids), through a join of ids with the pieces of the vocabulary.
+@cache
+def _piece_table(path: str) -> pa.Array:
+    """Pieces by id; ids that the vocabulary lacks have none."""
+    pieces = read_pieces(path)
+    out: list[bytes | None] = [None] * (1 + max(i for _, i in pieces))
+    for piece, i in pieces:
+        out[i] = piece
+    return pa.array(out, pa.binary())
+
+
+def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """doc_id, n_ids, text of ``encoded`` (doc_id, ids), through a join of ids with the pieces of the vocabulary.
 
-    The piece table is as large as the vocabulary, whatever the corpus, and is broadcast.  Empty lists give
-    an empty text; ids outside the vocabulary give nothing.
+    The piece table is as large as the vocabulary, whatever the corpus, so it is joined map-side; as its ids are dense, the join
+    is a look-up by position over a whole batch, and pieces fall into place without sorting or a shuffle.  Empty and null lists give an
+    empty text, ids outside the vocabulary and null ids give nothing.  Bytes that are not UTF-8 are replaced by U+FFFD.
     """
-    pieces = read_pieces(vocabulary or default_vocabulary())
-    table = spark.createDataFrame(pa.table({"id": pa.array([i for _, i in pieces], pa.int32()), "piece": pa.array([p.hex() for p, _ in pieces])}))
-    one = encoded.select("doc_id", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(table), "id")
-    order = F.array_sort(F.collect_list(F.struct("pos", "piece")))
-    texts = one.groupBy("doc_id").agg(F.array_join(F.transform(order, lambda x: x["piece"]), "").alias("hex"))
-    back = texts.select("doc_id", F.decode(F.unhex("hex"), "UTF-8").alias("text"))
-    return encoded.select("doc_id").join(back, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    vocabulary = vocabulary or default_vocabulary()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _piece_table(vocabulary)
+        for batch in batches:
+            lists = pc.fill_null(batch.column("ids").cast(pa.list_(pa.int64())), pa.scalar([], pa.list_(pa.int64())))
+            sizes = np.asarray(pc.list_value_length(lists), dtype=np.int64)
+            ids = lists.flatten()
+            known = pc.and_(pc.greater_equal(ids, 0), pc.less(ids, len(table)))
+            found = pc.fill_null(table.take(pc.if_else(known, ids, pa.scalar(None, pa.int64()))).cast(pa.large_binary()), b"")
+            if isinstance(found, pa.ChunkedArray):
+                found = found.combine_chunks()
+            starts = np.frombuffer(found.buffers()[1], dtype=np.int64, count=len(found) + 1 + found.offset)[found.offset :] if len(found) else np.zeros(1, np.int64)
+            data = bytes(memoryview(found.buffers()[2])) if len(found) and found.buffers()[2] else b""
+            ends = starts[np.concatenate([[0], np.cumsum(sizes)])]
+            texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_ids": pa.array(sizes.astype(np.int32)), "text": pa.array(texts, pa.string())})
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, n_ids int, text string")
