@@ -74,6 +74,20 @@ def test_sinks(spark, tmp_path):
     assert text.startswith("# T\n\n## one\n\n| k | x | t |\n| --- | --- | --- |\n| 0 | – | say")
 
 
+def test_caches_and_year_folders(spark, tmp_path):
+    from tidewright.sources.tables import read_or_make, years_of
+
+    made = []
+    make = lambda: made.append(1) or spark.range(3).withColumn("year", F.lit(2020))
+    path = str(tmp_path / "cache")
+    assert [read_or_make(spark, path, make).count() for _ in range(2)] == [3, 3] and len(made) == 1
+    for y in (2020, 2021):
+        sinks.write_parquet(spark.range(y - 2018), str(tmp_path / "bars" / str(y)))
+    assert years_of(spark, str(tmp_path / "bars")).count() == 5
+    sinks.write_parquet(spark.range(4).withColumn("year", F.col("id") % 2), str(tmp_path / "parts"), ("year",))
+    assert spark.read.parquet(str(tmp_path / "parts")).filter("year = 1").count() == 2
+
+
 # ---- windows and audits
 
 
@@ -290,6 +304,8 @@ def test_grid_bootstrap_and_inference(spark):
     draws = quantreg.bootstrap(spark, x, y, {"real": 12, "placebo": 6}, "t", 5, 10)
     one, two = (sorted(map(str, d.collect())) for d in (draws, quantreg.bootstrap(spark, x, y, {"real": 12, "placebo": 6}, "t", 5, 10)))
     assert one == two and len(one) == 19
+    long = quantreg.number_draws(draws)
+    assert sorted((r.mode, r.draw_idx) for r in long.collect() if r.mode != "real") == [("placebo", i) for i in range(6)] + [("point", -1)]
     s = quantreg.inference(draws).first()
     assert s.n + s.n_placebo <= 18 and s.lo <= s.hi and 0 < s.p_one_sided <= 1 and s.basic_hi == pytest.approx(2 * s.theta - s.lo)
     at = quantreg.block_indices(500, 30, rng)

@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tidewright.operators.stats import gram, student_p
 
@@ -199,6 +200,13 @@ def bootstrap(spark: SparkSession, x: np.ndarray, y: np.ndarray, draws: dict[str
     return todo.mapInArrow(run, DRAW_SCHEMA)
 
 
+def number_draws(draws: DataFrame) -> DataFrame:
+    """The long draw table: converged draws numbered anew from 0 per label and mode, the point row -1."""
+    over = W.partitionBy("label", "mode").orderBy("draw_idx")
+    good = draws.filter("converged").withColumn("draw_idx", F.when(F.col("mode") == "point", F.lit(-1)).otherwise(F.row_number().over(over) - 1).cast("bigint"))
+    return good.drop("converged")
+
+
 def inference(draws: DataFrame) -> DataFrame:
     """label, n, theta, percentile and basic intervals, one-sided p, excludes_zero, and the place of theta among placebo draws."""
     good = draws.filter("converged")

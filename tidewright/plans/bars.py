@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from tidewright.functions.windows import first_argmax, first_argmin
 from tidewright.operators import audit
 from tidewright.operators.detect import STAGES, PatternParams, Variant, detect_setups, evaluate
+from tidewright.operators.spikes import physical_bounds
 from tidewright.operators.series import add_segments, breakouts, universe
 from tidewright.plans.common import BARS_SQL, BREAKOUT, FEATURES_SQL, SERIES, UNIVERSE, bars, clean_bars, features, ticker_bars
 from tidewright.sources.bars import normalize_bars, normalize_splits
@@ -133,6 +134,11 @@ def setups_d9_d13(spark: SparkSession, d: str) -> DataFrame:
     return detect_setups(c, f, PATTERN, (Variant("strict", 0.60, 0.15), Variant("loose", 0.20)), 20).drop("series")
 
 
+def impossible_bars_p22(spark: SparkSession, d: str) -> DataFrame:
+    """Delivered rows whose own values cannot be."""
+    return table(spark, d, "daily_bars").filter(physical_bounds()).select("bar_id", "feed", "ticker", "date")
+
+
 def first_extremes_a17(spark: SparkSession, d: str) -> DataFrame:
     """The first date of the highest high and of the lowest low of each series."""
     return bars(spark, d).groupBy("series").agg(first_argmax("date", "high").alias("first_high"), first_argmin("date", "low").alias("first_low"))
@@ -191,7 +197,7 @@ def anti_join_j9(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     universe_d3_w13, scan_projection_s1_s5, normalize_bars_s2, splits_s3, bar_audit_d1, bar_audit_years_a3, unexplained_moves_j1, coverage_j12_a4, probes_d2_j11, probe_verdict_a23, segments_w2_w3, recycled_share_a7,
-    rolling_features_w4_w12, breakout_mask_p19, funnel_a8, pattern_stages_d4_d8, setups_d9_d13, first_extremes_a17, longest_run_a21, fractal_minima_w21, up_counts_w17, half_means_a18, slice_aggregates_a20,
+    rolling_features_w4_w12, breakout_mask_p19, funnel_a8, pattern_stages_d4_d8, setups_d9_d13, impossible_bars_p22, first_extremes_a17, longest_run_a21, fractal_minima_w21, up_counts_w17, half_means_a18, slice_aggregates_a20,
     semi_join_j8, anti_join_j9,
 )}
 
@@ -258,6 +264,7 @@ SQL = {
     "funnel_a8": f"""with {FEATURES_SQL}, s as (select date between date '2014-06-01' and date '2024-12-31' as a, close > 2 as b, adv_20 > 500000 as c, days_in_segment - 1 >= 63 as d, mom_12_1 is not null as e from ft)
         select count(*) as all_rows, count(*) filter (a) as in_dates, count(*) filter (a and b) as price, count(*) filter (a and b and c) as dollar_volume, count(*) filter (a and b and c and d) as history, count(*) filter (a and b and c and d and e) as momentum from s""",
     "pattern_stages_d4_d8": "with " + _PATTERN_SQL,
+    "impossible_bars_p22": "select bar_id, feed, ticker, date from daily_bars where open <= 0 or high <= 0 or low <= 0 or close <= 0 or volume < 0 or high < low or open > high or open < low or close > high or close < low",
     "first_extremes_a17": f"with {BARS_SQL}, m as (select series, max(high) as h, min(low) as l from bars group by 1) select m.series, min(date) filter (high = h) as first_high, min(date) filter (low = l) as first_low from m join bars using (series) group by 1",
     "longest_run_a21": f"""with {BARS_SQL}, u as (select ticker, date, coalesce(close > lag(close) over (partition by ticker order by date), false) as up from cb), i as (select *, sum((not up)::int) over (partition by ticker order by date) as k from u),
         r as (select ticker, k, count(*) filter (up) as n, count(*) as a from i group by all) select ticker, sum(a)::bigint as n_bars, max(n) as longest from r group by 1""",

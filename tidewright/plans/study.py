@@ -361,7 +361,8 @@ def _draws(spark: SparkSession, d: str, real: int = 40, placebo: int = 20) -> Da
 
 
 def bootstrap_r12_r14_r17(spark: SparkSession, d: str) -> DataFrame:
-    return _draws(spark, d)
+    """The long draw table."""
+    return quantreg.number_draws(_draws(spark, d))
 
 
 def inference_r15_r16(spark: SparkSession, d: str) -> DataFrame:
@@ -387,7 +388,18 @@ pn as (select r.* replace ({_SECTOR.replace('sector', 'r.sector')} as sector), {
 _USABLE = "fwd_ret is not null and not isnan(fwd_ret) and " + " and ".join(f"{w} is not null" for w in WINDOWS)
 _CORR_OK = " and ".join(f"{c} is not null and not isnan({c})" for c in CORR)
 
+_RANGES = " union all ".join(f"select '{c}' as column_name, {lo} as lo, {hi} as hi" for c, (lo, hi) in EXPECTED.items())
+_RANGE_VALUES = " union all ".join(f"select '{c}' as column_name, {c}::double as v from st" for c in EXPECTED)
+_AT = lambda p: f"max(v) filter (k = floor((n - 1) * {p} + 0.5))"
+
 SQL = {
+    "range_verdict_a26": f"""with {SETUPS_SQL}, x as ({_RANGE_VALUES}), r as (select column_name, v, row_number() over (partition by column_name order by v) - 1 as k, count(*) over (partition by column_name) as n from x where {_FIN}),
+        q as (select column_name, {_AT(0.1)} as p10, {_AT(0.25)} as p25, {_AT(0.75)} as p75, {_AT(0.9)} as p90 from r group by 1)
+        select column_name, p10, p25, p75, p90, case when p10 >= lo and p90 <= hi then 'inside' when p25 >= lo and p75 <= hi then 'middle half inside' else 'shifted' end as verdict from q join ({_RANGES}) e using (column_name)""",
+    "data_block_s7": f"with {FACTORS_SQL}, l as (select strftime(date, '%Y%m%d') || ', ' || " + " || ', ' || ".join(f"printf('%.2f', {n} * 100)" for n in FACTOR_NAMES) + " as line from fa) select count(*) as n, min(line) as first, max(line) as last from l",
+    "winsorized_r4_a29": f"""with {_PANEL}, u as (select vol_contraction_ratio as v, date between date '{TRAIN[0]}' and date '{TRAIN[1]}' as tr from pn where {_USABLE}),
+        r as (select v, row_number() over (order by v) - 1 as k, count(*) over () as n from u where tr and v is not null and not isnan(v)), c as (select v as p99 from r where k = floor((n - 1) * 0.99 + 0.5))
+        select any_value(p99) as p99, count(*) filter (v > p99 and tr) as n_train_above, count(*) filter (v > p99) as n_above, round(max(least(v, p99)) filter (v is not null and isfinite(v)), 9) as most from u, c""",
     "counts_a5": f"with {SETUPS_SQL} select universe_variant, {_SECTOR} as sector, count(*) as n from st group by all",
     "pivot_a6_o6": f"with {SETUPS_SQL}, x as (select {_SECTOR} as sector, universe_variant as v from st) select sector, count(*) filter (v = 'loose') as loose, count(*) filter (v = 'strict') as strict, count(*) filter (v in ('loose', 'strict')) as total from x group by 1",
     "quantiles_nearest_a9": f"""with {SETUPS_SQL}, x as ({_LONG}), r as (select universe_variant, column_name, v, row_number() over (partition by universe_variant, column_name order by v) - 1 as k, count(*) over (partition by universe_variant, column_name) as n from x where {_FIN})
