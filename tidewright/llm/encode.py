@@ -210,7 +210,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _piece_table(vocabulary)
-        for batch in batches:
+        for batch in (b.slice(a, 512) for b in batches for a in range(0, b.num_rows, 512)):
             lists = pc.fill_null(batch.column("ids").cast(pa.list_(pa.int64())), pa.scalar([], pa.list_(pa.int64())))
             sizes = np.asarray(pc.list_value_length(lists), dtype=np.int64)
             ids = lists.flatten()
