@@ -33,6 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tidewright.llm.encode import file_bytes
+
 # ISO 639-2 codes (both variants) of languages by their ISO 639-1 code.
 ISO_639_2 = {
     "cs": ["ces", "cze"], "da": ["dan"], "de": ["deu", "ger"], "el": ["ell", "gre"], "en": ["eng"], "es": ["spa"], "fi": ["fin"], "fr": ["fra", "fre"],
@@ -41,6 +43,9 @@ ISO_639_2 = {
 }
 
 
+SMALL = 4 << 20
+
+
 @dataclass(frozen=True)
 class LangParams:
     order: int = 5  #: longest n-gram
@@ -380,7 +385,8 @@ def detect(docs: DataFrame, languages: list[tuple[str, str]], params: LangParams
     """doc_id, label (language that ``lang`` names, or null), main, confidence, cells (cell_no, lang, confidence, chars), one row per document with a text cell.
 
     docs: doc_id, text, lang, cells.  languages: (code, name) of all languages.  The models are trained on the driver from the bounded
-    sample, and broadcast; their size is bounded by the sample's.  Scoring is a map over documents, without any shuffle.
+    sample, and broadcast; their size is bounded by the sample's.  Scoring is a map over documents, without any shuffle but for inputs
+    under SMALL bytes a core, which are spread first.
     """
     spark = docs.sparkSession
     who = who or train(sample(docs, languages, params), [c for c, _ in languages], params)
@@ -406,6 +412,9 @@ def detect(docs: DataFrame, languages: list[tuple[str, str]], params: LangParams
                 })
 
     rows = docs.select("doc_id", label_language(F.col("lang"), languages).alias("label"), "text", "cells")
+    cores = spark.sparkContext.defaultParallelism
+    if (known := file_bytes(docs)) and known < SMALL * cores:  # one small file would be one task
+        rows = rows.repartition(cores)
     return rows.mapInArrow(run, "doc_id bigint, label string, main string, confidence double, cells array<struct<cell_no:int,lang:string,confidence:double,chars:int>>")
 
 
