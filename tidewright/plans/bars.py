@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -11,7 +14,7 @@ from tidewright.operators import audit
 from tidewright.operators.detect import STAGES, PatternParams, Variant, detect_setups, evaluate
 from tidewright.operators.spikes import physical_bounds
 from tidewright.operators.series import add_segments, breakouts, universe
-from tidewright.plans.common import BARS_SQL, BREAKOUT, FEATURES_SQL, SERIES, UNIVERSE, bars, clean_bars, features, ticker_bars
+from tidewright.plans.common import BARS_SQL, BREAKOUT, FEATURES_SQL, SERIES, UNIVERSE, bars, by_feed_sql, clean_bars, features, ticker_bars
 from tidewright.sources.bars import normalize_bars, normalize_splits
 from tidewright.sources.tables import table
 
@@ -76,26 +79,30 @@ def recycled_share_a7(spark: SparkSession, d: str) -> DataFrame:
     return top.agg(F.count(F.lit(1)).alias("n_series"), F.count_if(F.col("m") > 0).alias("n_recycled"), F.max("m").alias("most_segments"))
 
 
+def _key(every: bool) -> str:
+    return "series" if every else "ticker"
+
+
 FEATURE_ROUND = {"sma_10": 6, "sma_20": 6, "sma_50": 6, "vol_avg_20": 4, "adr_20": 8, "mom_12_1": 8, "high_252": 6, "daily_range_pct": 8, "dist_52w_high_pct": 8}
 
 
-def rolling_features_w4_w12(spark: SparkSession, d: str) -> DataFrame:
-    return features(spark, d).select("ticker", "date", "segment_id", "days_in_segment", "prev_high", "cum_up", (F.round(F.col("adv_20") / 1e6, 4)).alias("adv_20_m"), *[F.round(c, k).alias(c) for c, k in FEATURE_ROUND.items()])
+def rolling_features_w4_w12(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    return features(spark, d, every).select(_key(every), "date", "segment_id", "days_in_segment", "prev_high", "cum_up", (F.round(F.col("adv_20") / 1e6, 4)).alias("adv_20_m"), *[F.round(c, k).alias(c) for c, k in FEATURE_ROUND.items()])
 
 
-def universe_d3_w13(spark: SparkSession, d: str) -> DataFrame:
+def universe_d3_w13(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
     """Rows of the universe with the average-rank percentile of momentum."""
     types = table(spark, d, "yfinance_types").filter(F.col("quote_type") != "EQUITY").select("ticker")
-    return universe(features(spark, d), UNIVERSE, types).select("ticker", "date", F.round("mom_12_1", 8).alias("mom_12_1"), F.round("mom_pct", 9).alias("mom_pct"))
+    return universe(features(spark, d, every), UNIVERSE, types).select(_key(every), "date", F.round("mom_12_1", 8).alias("mom_12_1"), F.round("mom_pct", 9).alias("mom_pct"))
 
 
-def breakout_mask_p19(spark: SparkSession, d: str) -> DataFrame:
-    return breakouts(universe(features(spark, d), UNIVERSE), BREAKOUT).select("ticker", "date", "close", "volume", F.round("mom_pct", 9).alias("mom_pct"))
+def breakout_mask_p19(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    return breakouts(universe(features(spark, d, every), UNIVERSE), BREAKOUT).select(_key(every), "date", "close", "volume", F.round("mom_pct", 9).alias("mom_pct"))
 
 
-def funnel_a8(spark: SparkSession, d: str) -> DataFrame:
+def funnel_a8(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
     """Rows that are left after each filter, in one pass."""
-    f = features(spark, d)
+    f = features(spark, d, every)
     u = UNIVERSE
     steps = {
         "in_dates": F.col("date").between(F.lit(u.start).cast("date"), F.lit(u.end).cast("date")), "price": F.col("close") > u.min_close, "dollar_volume": F.col("adv_20") > u.min_adv_20,
@@ -108,8 +115,8 @@ def funnel_a8(spark: SparkSession, d: str) -> DataFrame:
     return f.agg(*aggs)
 
 
-def _candidates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    f = features(spark, d)
+def _candidates(spark: SparkSession, d: str, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    f = features(spark, d, every)
     return breakouts(universe(f, UNIVERSE), BREAKOUT), f
 
 
@@ -118,20 +125,20 @@ MEASURES = {
 }
 
 
-def pattern_stages_d4_d8(spark: SparkSession, d: str) -> DataFrame:
+def pattern_stages_d4_d8(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
     """Every breakout with the outcome of each stage and its measures (also the diagnosis of chosen rows)."""
-    c, f = _candidates(spark, d)
+    c, f = _candidates(spark, d, every)
     e = evaluate(c, f, PATTERN)
     return e.select(
-        "ticker", "date", *[F.coalesce(F.col(s), F.lit(False)).alias(s) for s in STAGES], "passed", "legup_low_date", "legup_high_date", "legup_duration_days", "cons_duration_days", "cons_exception_days", "higher_low_count",
+        _key(every), "date", *[F.coalesce(F.col(s), F.lit(False)).alias(s) for s in STAGES], "passed", "legup_low_date", "legup_high_date", "legup_duration_days", "cons_duration_days", "cons_exception_days", "higher_low_count",
         *[F.round(m, k).alias(m) for m, k in MEASURES.items()],
     )
 
 
-def setups_d9_d13(spark: SparkSession, d: str) -> DataFrame:
+def setups_d9_d13(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
     """Setups of both variants, scored and spaced."""
-    c, f = _candidates(spark, d)
-    return detect_setups(c, f, PATTERN, (Variant("strict", 0.60, 0.15), Variant("loose", 0.20)), 20).drop("series")
+    c, f = _candidates(spark, d, every)
+    return detect_setups(c, f, PATTERN, (Variant("strict", 0.60, 0.15), Variant("loose", 0.20)), 20).drop(*([] if every else ["series"]))
 
 
 def impossible_bars_p22(spark: SparkSession, d: str) -> DataFrame:
@@ -144,55 +151,55 @@ def first_extremes_a17(spark: SparkSession, d: str) -> DataFrame:
     return bars(spark, d).groupBy("series").agg(first_argmax("date", "high").alias("first_high"), first_argmin("date", "low").alias("first_low"))
 
 
-def longest_run_a21(spark: SparkSession, d: str) -> DataFrame:
+def longest_run_a21(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
     """The longest run of rising closes of each ticker: gaps and islands."""
-    g = W.partitionBy("ticker").orderBy("date")
-    rows = clean_bars(spark, d).withColumn("up", F.col("close") > F.lag("close").over(g)).withColumn("up", F.coalesce("up", F.lit(False)))
+    g = W.partitionBy("series").orderBy("date")
+    rows = clean_bars(spark, d, every).withColumn("up", F.col("close") > F.lag("close").over(g)).withColumn("up", F.coalesce("up", F.lit(False)))
     rows = rows.withColumn("island", F.sum((~F.col("up")).cast("long")).over(g))
-    runs = rows.filter("up").groupBy("ticker", "island").agg(F.count(F.lit(1)).alias("n"))
-    return rows.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_bars")).join(runs.groupBy("ticker").agg(F.max("n").alias("n")), "ticker", "left").select("ticker", "n_bars", F.coalesce("n", F.lit(0)).alias("longest"))
+    runs = rows.filter("up").groupBy(_key(every), "island").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(_key(every)).agg(F.count(F.lit(1)).alias("n_bars")).join(runs.groupBy(_key(every)).agg(F.max("n").alias("n")), _key(every), "left").select(_key(every), "n_bars", F.coalesce("n", F.lit(0)).alias("longest"))
 
 
-def fractal_minima_w21(spark: SparkSession, d: str) -> DataFrame:
+def fractal_minima_w21(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
     """Five-point local minima of closes per ticker, and how many are higher than the one before."""
-    g = W.partitionBy("ticker").orderBy("date")
+    g = W.partitionBy("series").orderBy("date")
     c = F.col("close")
     low = (c < F.lag(c, 1).over(g)) & (c < F.lag(c, 2).over(g)) & (c < F.lead(c, 1).over(g)) & (c < F.lead(c, 2).over(g))
-    minima = clean_bars(spark, d).withColumn("low", low).filter("low").withColumn("before", F.lag("close").over(g))
-    return minima.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_minima"), F.count_if(F.col("close") > F.col("before")).alias("n_higher"))
+    minima = clean_bars(spark, d, every).withColumn("low", low).filter("low").withColumn("before", F.lag("close").over(g))
+    return minima.groupBy(_key(every)).agg(F.count(F.lit(1)).alias("n_minima"), F.count_if(F.col("close") > F.col("before")).alias("n_higher"))
 
 
-def up_counts_w17(spark: SparkSession, d: str) -> DataFrame:
+def up_counts_w17(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
     """Rising closes over the last 20 bars as a difference of running counts."""
-    f = features(spark, d)
-    g = W.partitionBy("ticker", "segment_id").orderBy("date")
-    return f.select("ticker", "date", (F.col("cum_up") - F.lag("cum_up", 20).over(g)).alias("ups_20"))
+    f = features(spark, d, every)
+    g = W.partitionBy("series", "segment_id").orderBy("date")
+    return f.select(_key(every), "date", (F.col("cum_up") - F.lag("cum_up", 20).over(g)).alias("ups_20"))
 
 
-def half_means_a18(spark: SparkSession, d: str) -> DataFrame:
+def half_means_a18(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
     """Ratio of the later to the earlier half's mean volume of each ticker, and the slope of its closes on position."""
-    of = W.partitionBy("ticker")
-    rows = clean_bars(spark, d).withColumns({"pos": F.row_number().over(of.orderBy("date")) - 1, "n": F.count(F.lit(1)).over(of)})
+    of = W.partitionBy("series")
+    rows = clean_bars(spark, d, every).withColumns({"pos": F.row_number().over(of.orderBy("date")) - 1, "n": F.count(F.lit(1)).over(of)})
     early = F.col("pos") < F.floor(F.col("n") / 2)
-    out = rows.groupBy("ticker").agg(F.avg(F.when(early, F.col("volume"))).alias("a"), F.avg(F.when(~early, F.col("volume"))).alias("b"), F.regr_slope("close", F.col("pos").cast("double")).alias("slope"))
-    return out.select("ticker", F.round(F.try_divide("b", "a"), 8).alias("ratio"), F.round("slope", 8).alias("slope"))
+    out = rows.groupBy(_key(every)).agg(F.avg(F.when(early, F.col("volume"))).alias("a"), F.avg(F.when(~early, F.col("volume"))).alias("b"), F.regr_slope("close", F.col("pos").cast("double")).alias("slope"))
+    return out.select(_key(every), F.round(F.try_divide("b", "a"), 8).alias("ratio"), F.round("slope", 8).alias("slope"))
 
 
-def slice_aggregates_a20(spark: SparkSession, d: str) -> DataFrame:
-    rows = ticker_bars(spark, d)
-    return rows.groupBy("ticker").agg(F.min("low").alias("least"), F.max("high").alias("most"), F.bool_and(F.col("close") > 0).alias("all_positive"), F.bool_or(F.col("volume") == 0).alias("any_halt"), F.sum("volume").alias("volume"))
+def slice_aggregates_a20(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    rows = ticker_bars(spark, d, every)
+    return rows.groupBy(_key(every)).agg(F.min("low").alias("least"), F.max("high").alias("most"), F.bool_and(F.col("close") > 0).alias("all_positive"), F.bool_or(F.col("volume") == 0).alias("any_halt"), F.sum("volume").alias("volume"))
 
 
-def semi_join_j8(spark: SparkSession, d: str) -> DataFrame:
+def semi_join_j8(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
     """Bars of tickers that have a setup."""
     asked = table(spark, d, "m1_setups").select("ticker").distinct()
-    return ticker_bars(spark, d).join(asked, "ticker", "left_semi").groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))
+    return ticker_bars(spark, d, every).join(asked, "ticker", "left_semi").groupBy(_key(every)).agg(F.count(F.lit(1)).alias("n"))
 
 
-def anti_join_j9(spark: SparkSession, d: str) -> DataFrame:
+def anti_join_j9(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
     """Bars of tickers that are not funds."""
     funds = table(spark, d, "yfinance_types").filter(F.col("quote_type") == "ETF").select("ticker").distinct()
-    return ticker_bars(spark, d).join(funds, "ticker", "left_anti").groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))
+    return ticker_bars(spark, d, every).join(funds, "ticker", "left_anti").groupBy(_key(every)).agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -201,6 +208,12 @@ QUERIES = {f.__name__: f for f in (
     semi_join_j8, anti_join_j9,
 )}
 
+#: The queries on one series per ticker, on all series.
+BY_FEED = {re.sub(r"((_[a-z]\d+)+)$", r"_by_feed\1", f.__name__): f for f in (
+    universe_d3_w13, rolling_features_w4_w12, breakout_mask_p19, funnel_a8, pattern_stages_d4_d8, setups_d9_d13, longest_run_a21, fractal_minima_w21, up_counts_w17, half_means_a18, slice_aggregates_a20, semi_join_j8, anti_join_j9,
+)}
+QUERIES |= {k: partial(f, every=True) for k, f in BY_FEED.items()}
+
 _FLAGS = BARS_SQL + f""", fl as (select *, lag(close) over (partition by series order by date) as pc from bars where date between date '{START}' and date '{END}'),
 fg as (select *, year(date) as year, (high < low) or (low > least(open, close)) or (high < greatest(open, close)) as bad_order,
   open is null or high is null or low is null or close is null or volume is null as has_null, open <= 0 or high <= 0 or low <= 0 or close <= 0 as not_positive,
@@ -277,3 +290,4 @@ SQL = {
     "semi_join_j8": f"with {BARS_SQL} select ticker, count(*) as n from tb where ticker in (select ticker from m1_setups) group by 1",
     "anti_join_j9": f"with {BARS_SQL} select ticker, count(*) as n from tb where ticker not in (select ticker from yfinance_types where quote_type = 'ETF') group by 1",
 }
+SQL |= {k: by_feed_sql(SQL[f.__name__], () if f is funnel_a8 else ("ticker",)) for k, f in BY_FEED.items() if f.__name__ in SQL}

@@ -24,23 +24,25 @@ def bars(spark: SparkSession, d: str) -> DataFrame:
     return latest_bars(table(spark, d, "daily_bars"))
 
 
-def ticker_bars(spark: SparkSession, d: str) -> DataFrame:
-    """One series per ticker: that of its first feed."""
-    every = bars(spark, d)
-    first = table(spark, d, "daily_bars").groupBy("ticker").agg(F.min("feed").alias("feed"))
-    return every.join(first, ["ticker", "feed"], "left_semi").select("ticker", "date", "open", "high", "low", "close", "volume")
+def ticker_bars(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    """One series per ticker, that of its first feed and named as the ticker; with ``every`` all series, by feed and ticker."""
+    out = bars(spark, d)
+    if not every:
+        first = table(spark, d, "daily_bars").groupBy("ticker").agg(F.min("feed").alias("feed"))
+        out = out.join(first, ["ticker", "feed"], "left_semi").withColumn("series", F.col("ticker"))
+    return out.select("series", "ticker", "date", "open", "high", "low", "close", "volume")
 
 
-def clean_bars(spark: SparkSession, d: str) -> DataFrame:
+def clean_bars(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
     """Bars of ticker_bars without nulls, with prices above zero."""
-    out = ticker_bars(spark, d)
+    out = ticker_bars(spark, d, every)
     for c in ("open", "high", "low", "close"):
         out = out.filter(F.col(c) > 0)
     return out.filter(F.col("volume").isNotNull())
 
 
-def features(spark: SparkSession, d: str) -> DataFrame:
-    return add_features(clean_bars(spark, d), "ticker", SERIES).withColumn("series", F.col("ticker"))
+def features(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    return add_features(clean_bars(spark, d, every), "series", SERIES)
 
 
 def setups(spark: SparkSession, d: str) -> DataFrame:
@@ -52,6 +54,12 @@ def setups(spark: SparkSession, d: str) -> DataFrame:
     return last.withColumn("ticker", canonical_ticker(F.col("ticker")))
 
 
+def setups_by_feed(spark: SparkSession, d: str) -> DataFrame:
+    """Each setup once per series of its ticker, with event (setup_id, series); once without a series if there is none."""
+    out = setups(spark, d).join(bars(spark, d).select("ticker", "series").distinct(), "ticker", "left")
+    return out.withColumn("event", F.struct("setup_id", "series"))
+
+
 def factors(spark: SparkSession, d: str) -> DataFrame:
     """A deterministic daily factor table from the orders, moved into the years of the bars."""
     k = dict(zip(FACTOR_NAMES, (1, 3, 7, 11)))
@@ -87,3 +95,15 @@ bo as (select * from un where close > prev_high and high > prev_high and volume
 _TICKER = r"nullif(regexp_replace(regexp_replace(upper(ticker), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '[\s\p{Z}]*[./-][\s\p{Z}]*|[\s\p{Z}]+', '.', 'g'), '')"
 SETUPS_SQL = f"st as (select * replace ({_TICKER} as ticker) from m2_setups_with_features qualify row_number() over (partition by setup_id order by load_id desc, loaded_at desc, coalesce(adr_pct, -1e9) desc, coalesce(vol_contraction_ratio, -1e9) desc, coalesce(rs_slope_vs_spy, -1e9) desc, coalesce(base_duration_days, -1e9) desc) = 1)"
 FACTORS_SQL = "fa as (select (o_orderdate::date + 7000)::date as date, " + ", ".join(f"(((sum(floor(o_totalprice))::bigint * {k}) % 201) - 100) / 10000 as {n}" for n, k in zip(FACTOR_NAMES, (1, 3, 7, 11))) + " from orders group by 1)"
+
+_FIRST = next(line for line in BARS_SQL.split("\n") if line.startswith("tb as "))
+_EVERY = "tb as (select series as ticker, ticker as symbol, date, open, high, low, close, volume from bars),"
+_SETUPS_BY_FEED = "st as (select s0.* replace ({'s': s0.setup_id, 'f': b.series} as setup_id, b.series as ticker) from s0 left join (select distinct series, ticker from bars) b on b.ticker = s0.ticker)"
+
+
+def by_feed_sql(sql: str, keys: tuple[str, ...] = ("ticker",)) -> str:
+    """SQL of a query on one series per ticker made to one on all series; keys: those of ticker and setup_id that it returns."""
+    sql = sql.replace(f"{SETUPS_SQL}, {BARS_SQL}", f"{SETUPS_SQL.replace('st as', 's0 as', 1)}, {BARS_SQL}, {_SETUPS_BY_FEED}").replace(_FIRST, _EVERY)
+    sql = sql.replace("ticker not in (select ticker from yfinance_types", "symbol not in (select ticker from yfinance_types").replace("ticker in (select ticker from m1_setups)", "symbol in (select ticker from m1_setups)")
+    names = {"ticker": "ticker as series", "setup_id": "setup_id.s as setup_id, setup_id.f as series"}
+    return f"select {', '.join(names[k] for k in keys)}, * exclude ({', '.join(keys)}) from ({sql})" if keys else sql
