@@ -13,11 +13,12 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tidewright.operators.stats import gram, student_p
+from tidewright.operators.quantiles import exact_quantiles
+from tidewright.operators.stats import gram, ols, student_p
 
 MOST_ROWS = 500_000  #: rows of a panel that one task fits, and that a bootstrap broadcasts
 CLAMP = 1e-6
@@ -52,12 +53,7 @@ def fit(x: np.ndarray, y: np.ndarray, tau: float, max_iter: int = 1000) -> dict:
     b, used = solve(x, y, tau, max_iter)
     n, k = x.shape
     r = y - x @ b
-    norm = NormalDist()
-    z, q = norm.inv_cdf(0.975), norm.inv_cdf(tau)
-    h = n ** (-1 / 3) * z ** (2 / 3) * (1.5 * norm.pdf(q) ** 2 / (2 * q * q + 1)) ** (1 / 3)
-    h = min(h, tau / 2, (1 - tau) / 2) if not 0 < tau - h < tau + h < 1 else h
-    iqr = np.subtract(*np.percentile(r, [75, 25]))
-    width = min(float(np.std(y)), iqr / 1.34) * (norm.inv_cdf(tau + h) - norm.inv_cdf(tau - h)) or 1.0
+    width = _sparsity(n, tau, float(np.std(y)), float(np.subtract(*np.percentile(r, [75, 25]))))
     u = r / width
     dens = np.where(np.abs(u) <= 1, 0.75 * (1 - u * u), 0.0)
     d = np.where(r > 0, tau / max(1e-12, float(np.mean(dens) / width)), (1 - tau) / max(1e-12, float(np.mean(dens) / width))) ** 2
@@ -76,21 +72,61 @@ def distributed_fit(df: DataFrame, x: list[str], y: str, tau: float, max_iter: i
         k = 1 + len(x)
         g = gram(rows, ["const", *x, y])
         b = np.linalg.lstsq(g[:k, :k], g[:k, k], rcond=None)[0]
+        seen: list[np.ndarray] = []
         for i in range(1, max_iter + 1):
-            r = F.col(y) - F.lit(float(b[0]))
-            for c, v in zip(x, b[1:]):
-                r = r - F.lit(float(v)) * F.col(c)
+            r = _residual(x, y, b)
             w = F.when(r < 0, 1 - tau).otherwise(tau) / F.greatest(F.abs(r), F.lit(CLAMP))
             g = gram(rows.withColumn("_w", w), ["const", *x, y], "_w")
             new = np.linalg.lstsq(g[:k, :k], g[:k, k], rcond=None)[0]
-            if np.max(np.abs(new - b)) < tol:
+            if np.max(np.abs(new - b)) < tol or i > 50 and any(np.max(np.abs(new - s)) < tol * 1e-2 for s in seen):
                 return new, i
+            seen = (seen + [new])[-10:]
             b = new
         return b, max_iter
     finally:
         rows.unpersist()
 
 
+def _residual(x: list[str], y: str, b: np.ndarray) -> Column:
+    r = F.col(y) - F.lit(float(b[0]))
+    for c, v in zip(x, b[1:]):
+        r = r - F.lit(float(v)) * F.col(c)
+    return r
+
+
+def _sparsity(n: int, tau: float, spread: float, iqr: float) -> float:
+    """Width of the kernel of the robust standard errors (Hall-Sheather bandwidth)."""
+    norm = NormalDist()
+    z, q = norm.inv_cdf(0.975), norm.inv_cdf(tau)
+    h = n ** (-1 / 3) * z ** (2 / 3) * (1.5 * norm.pdf(q) ** 2 / (2 * q * q + 1)) ** (1 / 3)
+    h = min(h, tau / 2, (1 - tau) / 2) if not 0 < tau - h < tau + h < 1 else h
+    return min(spread, iqr / 1.34) * (norm.inv_cdf(tau + h) - norm.inv_cdf(tau - h)) or 1.0
+
+
+def distributed_model(df: DataFrame, x: list[str], y: str, tau: float, max_iter: int = 1000) -> dict:
+    """As fit(), for a DataFrame of any size: standard errors from summed Gram blocks, quartiles by bracketing."""
+    rows = df.select(F.lit(1.0).alias("const"), *[F.col(c).cast("double").alias(c) for c in x], F.col(y).cast("double").alias(y)).persist()
+    try:
+        b, used = distributed_fit(rows, x, y, tau, max_iter)
+        k, r = 1 + len(x), F.col("_r")
+        rows_r = rows.withColumn("_r", _residual(x, y, b))
+        at = {q["prob"]: q["quantile"] for q in exact_quantiles(rows_r, [], "_r", [0.25, 0.75]).collect()}
+        null = exact_quantiles(rows, [], y, [tau]).first()["quantile"]
+        loss = lambda e: F.sum(F.when(e < 0, tau - 1).otherwise(tau) * e)
+        s = rows_r.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(y).alias("sd"), loss(r).alias("loss"), loss(F.col(y) - F.lit(null)).alias("null")).first()
+        width = _sparsity(s["n"], tau, s["sd"], at[0.75] - at[0.25])
+        u = r / F.lit(width)
+        dens = max(1e-12, rows_r.agg(F.avg(F.when(F.abs(u) <= 1, 0.75 * (1 - u * u)).otherwise(0.0))).first()[0] / width)
+        d = F.when(r > 0, F.lit((tau / dens) ** 2)).otherwise(F.lit(((1 - tau) / dens) ** 2))
+        inv = np.linalg.pinv(gram(rows, ["const", *x]))
+        se = np.sqrt(np.maximum(np.diag(inv @ gram(rows_r.withColumn("_w", d), ["const", *x], "_w") @ inv), 0))
+    finally:
+        rows.unpersist()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = b / se
+    return {"coef": b, "std_err": se, "t": t, "p": np.array([student_p(float(v), s["n"] - k) for v in t]), "pseudo_r2": 1 - s["loss"] / max(s["null"], 1e-300), "n": s["n"], "iterations": used}
+
+
 def _matrix(pdf: pd.DataFrame, terms: list[str], y: str) -> tuple[np.ndarray, np.ndarray]:
     return np.column_stack([np.ones(len(pdf)), *[pdf[t].to_numpy(float) for t in terms]]), pdf[y].to_numpy(float)
 
@@ -98,10 +134,11 @@ def _matrix(pdf: pd.DataFrame, terms: list[str], y: str) -> tuple[np.ndarray, np
 COEF_SCHEMA = "panel string, spec string, model string, tau double, term string, coef double, std_err double, t_or_z double, p double, rsquared double, pseudo_r2 double, n bigint"
 
 
-def estimation_grid(df: DataFrame, panel: str, specs: dict[str, list[str]], y: str, taus: list[float]) -> DataFrame:
+def estimation_grid(df: DataFrame, panel: str, specs: dict[str, list[str]], y: str, taus: list[float], most_rows: int = MOST_ROWS) -> DataFrame:
     """Long coefficient table of every panel, spec and model (OLS and one quantile model per tau).
 
-    One task per panel, spec and model; rows with a missing value in the terms of any spec are left out.
+    One task per panel, spec and model; a panel of more than ``most_rows`` rows is fitted in the cluster instead.  Rows with a
+    missing value in the terms of any spec are left out, rows with an infinite one from the specs that have the term.
     """
     needed = sorted({t for terms in specs.values() for t in terms})
     grid = [(s, "ols", None) for s in specs] + [(s, f"qr_{t:g}", t) for s in specs for t in taus]
@@ -109,18 +146,34 @@ def estimation_grid(df: DataFrame, panel: str, specs: dict[str, list[str]], y: s
     rows = df.select(F.col(panel).alias("panel"), *needed, y)
     for c in (*needed, y):
         rows = rows.filter(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
+    # a panel that one task cannot hold never goes to it
+    large = [r["panel"] for r in rows.groupBy("panel").count().filter(F.col("count") > most_rows).orderBy("panel").collect()]
+    names_of = [c.split()[0] for c in COEF_SCHEMA.split(", ")]
+    far = []
+    for p, (spec, model, tau) in ((p, m) for p in large for m in grid):
+        terms = specs[spec]
+        of = rows.filter(F.col("panel").eqNullSafe(F.lit(p)))
+        for c in (*terms, y):
+            of = of.filter(F.abs(F.col(c).cast("double")) < float("inf"))
+        if tau is None:
+            f = ols(of, terms, y)
+            far += [(p, spec, model, None, term, b, s, t, q, float(f.r2), None, f.n) for term, b, s, t, q in f.rows()]
+        else:
+            f = distributed_model(of, terms, y, tau)
+            far += [(p, spec, model, tau, *map(lambda v: v if isinstance(v, str) else float(v), z), None, float(f["pseudo_r2"]), f["n"]) for z in zip(["const", *terms], f["coef"], f["std_err"], f["t"], f["p"])]
+    for p in large:
+        rows = rows.filter(~F.col("panel").eqNullSafe(F.lit(p)))
     long = rows.select("*", models).select("panel", "m.*", *needed, y)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MOST_ROWS:
-            raise ValueError(f"a panel has more than {MOST_ROWS} rows; use distributed_fit")
         head = pdf.iloc[0]
         terms = specs[head["spec"]]
         pdf = pdf.sort_values([*terms, y], kind="stable")  # the sums must not hang on the order of arrival
+        pdf = pdf[np.isfinite(pdf[[*terms, y]].to_numpy(float)).all(axis=1)]
         x, v = _matrix(pdf, terms, y)
         names = ["const", *terms]
         if len(v) <= len(names):
-            return pd.DataFrame(columns=[c.split()[0] for c in COEF_SCHEMA.split(", ")])
+            return pd.DataFrame(columns=names_of)
         if head["model"] == "ols":
             b = np.linalg.lstsq(x, v, rcond=None)[0]
             r = v - x @ b
@@ -132,9 +185,10 @@ def estimation_grid(df: DataFrame, panel: str, specs: dict[str, list[str]], y: s
             f = fit(x, v, float(head["tau"]))
             out = {"coef": f["coef"], "std_err": f["std_err"], "t_or_z": f["t"], "p": f["p"], "rsquared": None, "pseudo_r2": f["pseudo_r2"]}
         base = {"panel": head["panel"], "spec": head["spec"], "model": head["model"], "tau": head["tau"], "term": names, "n": len(v)}
-        return pd.DataFrame(base | out)[[c.split()[0] for c in COEF_SCHEMA.split(", ")]]
+        return pd.DataFrame(base | out)[names_of]
 
-    return long.groupBy("panel", "spec", "model").applyInPandas(run, COEF_SCHEMA)
+    near = long.groupBy("panel", "spec", "model").applyInPandas(run, COEF_SCHEMA)
+    return near.unionByName(df.sparkSession.createDataFrame(far, COEF_SCHEMA)) if far else near
 
 
 def headline(coefs: DataFrame, term: str, low: float = 0.5, high: float = 0.9) -> DataFrame:
