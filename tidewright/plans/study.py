@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
 import re
 from functools import partial
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -295,10 +296,15 @@ TERMS = {"primary": ["vol_contraction_ratio_w", "adr_pct", "base_duration_days",
 TAUS = [0.1, 0.25, 0.5, 0.75, 0.9]
 
 
+def _estimable() -> Column:
+    """All regressors are there and possible."""
+    good = finite("vol_contraction_ratio_w") & finite("adr_pct") & finite("rs_slope_vs_spy") & (F.abs("rs_slope_vs_spy") < 1)
+    return good & F.col("base_duration_days").isNotNull()
+
+
 def _estimation_rows(spark: SparkSession, d: str) -> DataFrame:
     out, _ = _residuals(spark, d)
-    good = finite("vol_contraction_ratio_w") & finite("adr_pct") & finite("rs_slope_vs_spy") & (F.abs("rs_slope_vs_spy") < 1)
-    return out.filter(good & F.col("universe_variant").isNotNull())
+    return out.filter(_estimable() & F.col("universe_variant").isNotNull())
 
 
 def _grid(spark: SparkSession, d: str) -> DataFrame:
@@ -328,33 +334,51 @@ def bands_k7(spark: SparkSession, d: str) -> DataFrame:
     return g.select("panel", "spec", "tau", "coef", (F.col("coef") - 1.96 * F.col("std_err")).alias("lo"), (F.col("coef") + 1.96 * F.col("std_err")).alias("hi"))
 
 
+WALK_PANELS = ("loose", "strict")
+FIRST_SCORE_YEAR = 2017
+LEAST_ROWS = 50
+WALK_SCHEMA = "year bigint, panel string, train_start date, train_end date, n_train bigint, n_score bigint, beta_50 double, beta_90 double, diff double, sign_diff string, p99_train double, ols_rsquared double, fit_succeeded boolean"
+
+
 def walk_forward_r10(spark: SparkSession, d: str) -> DataFrame:
-    """For each year the fit on all earlier ones: residuals, cap and both quantiles anew."""
+    """For each year up to the last of the setups and each panel the fit on all earlier years: residuals, cap and both quantiles anew.
+
+    A fit fails only with under LEAST_ROWS training rows; panels beyond MOST_ROWS are fitted in the cluster.
+    """
     panel = _panel(spark, d).persist()
     rows = []
+    start = datetime.date.fromisoformat(TRAIN[0])
     try:
-        for year in (2017, 2018, 2019, 2020):
-            end = f"{year - 1}-12-31"
-            out, info = stats.residualize(panel, "fwd_ret", WINDOWS, "2014-01-01", end, cap="vol_contraction_ratio")
-            fitted = out.filter((F.col("date") <= F.lit(end).cast("date")) & finite("vol_contraction_ratio_w") & finite("adr_pct"))
-            n_score = out.filter(F.year("date") == year).count()
-            pdf = fitted.select("vol_contraction_ratio_w", "adr_pct", "fwd_ret_resid").orderBy("setup_id").limit(quantreg.MOST_ROWS + 1).toPandas()
+        last = panel.agg(F.max(F.year("date"))).first()[0] or 0
+        for year in range(FIRST_SCORE_YEAR, last + 1):
+            end = datetime.date(year - 1, 12, 31)
+            out, info = stats.residualize(panel, "fwd_ret", WINDOWS, str(start), str(end), cap="vol_contraction_ratio")
+            out = out.filter(F.col("universe_variant").isin(*WALK_PANELS)).withColumn("_train", F.col("date").between(F.lit(start), F.lit(end)) & _estimable())
+            n = {r["universe_variant"]: r for r in out.groupBy("universe_variant").agg(F.count_if("_train").alias("n_train"), F.count_if(F.year("date") == year).alias("n_score")).collect()}
+            enough = [p for p in WALK_PANELS if p in n and n[p]["n_train"] >= LEAST_ROWS]
+            betas = {}
+            if enough:
+                train = out.filter(F.col("_train") & F.col("universe_variant").isin(enough))
+                grid = quantreg.estimation_grid(train, "universe_variant", {"primary": TERMS["primary"]}, "fwd_ret_resid", [0.5, 0.9])
+                betas = {r["panel"]: r for r in quantreg.headline(grid, TERMS["primary"][0]).collect()}
             info["rows"].unpersist()
-            if len(pdf) < 50 or len(pdf) > quantreg.MOST_ROWS:
-                rows.append((year, info["n_train"], n_score, None, None, None, "none", info["p99"], float(info["fit"].r2), False))
-                continue
-            x, y = np.column_stack([np.ones(len(pdf)), pdf["vol_contraction_ratio_w"], pdf["adr_pct"]]), pdf["fwd_ret_resid"].to_numpy()
-            (b5, _), (b9, _) = quantreg.solve(x, y, 0.5), quantreg.solve(x, y, 0.9)
-            diff = float(b9[1] - b5[1])
-            rows.append((year, info["n_train"], n_score, float(b5[1]), float(b9[1]), diff, "negative" if diff < 0 else "positive" if diff > 0 else "zero", info["p99"], float(info["fit"].r2), True))
+            for p in WALK_PANELS:
+                n_train, n_score = (n[p]["n_train"], n[p]["n_score"]) if p in n else (0, 0)
+                low, high, diff = (betas[p]["beta_low"], betas[p]["beta_high"], betas[p]["diff"]) if p in enough else (None, None, None)
+                sign = "none" if diff is None else "negative" if diff < 0 else "positive" if diff > 0 else "zero"
+                rows.append((year, p, start, end, n_train, n_score, low, high, diff, sign, info["p99"], float(info["fit"].r2), p in enough))
     finally:
         panel.unpersist()
-    return spark.createDataFrame(rows, "year bigint, n_train bigint, n_score bigint, beta_50 double, beta_90 double, diff double, sign_diff string, p99_train double, ols_rsquared double, fit_succeeded boolean")
+    return spark.createDataFrame(rows, WALK_SCHEMA)
 
 
 def sign_trend_r11(spark: SparkSession, d: str) -> DataFrame:
-    """How many yearly differences are negative, and whether their size grows."""
-    w = walk_forward_r10(spark, d).filter("fit_succeeded")
+    """Per panel, how many yearly differences are negative, and whether their size grows.
+
+    A year without new training rows only repeats the fit of the year before and does not count again.
+    """
+    before = F.lag("n_train").over(W.partitionBy("panel").orderBy("year"))
+    w = walk_forward_r10(spark, d).withColumn("_new", F.col("n_train") > F.coalesce(before, F.lit(0))).filter("fit_succeeded and _new").groupBy("panel")
     out = w.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("diff") < 0).alias("n_negative"), F.min_by(F.abs("diff"), "year").alias("first"), F.max_by(F.abs("diff"), "year").alias("last"), F.avg("diff").alias("mean"), F.stddev_samp("diff").alias("std"))
     return out.withColumn("trend", F.when(F.col("last") > F.col("first") * 1.1, "growing").when(F.col("last") < F.col("first") * 0.9, "shrinking").otherwise("flat"))
 
