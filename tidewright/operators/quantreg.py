@@ -30,8 +30,7 @@ def solve(x: np.ndarray, y: np.ndarray, tau: float, max_iter: int = 1000, tol: f
     seen: list[np.ndarray] = []
     for i in range(1, max_iter + 1):
         r = y - x @ b
-        r = np.where(np.abs(r) < CLAMP, np.where(r >= 0, CLAMP, -CLAMP), r)
-        w = np.where(r < 0, 1 - tau, tau) / np.abs(r)
+        w = np.where(r < 0, 1 - tau, tau) / np.maximum(np.abs(r), CLAMP)
         xw = x * w[:, None]
         new = np.linalg.lstsq(xw.T @ x, xw.T @ y, rcond=None)[0]
         if np.max(np.abs(new - b)) < tol:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 import re
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -249,8 +249,8 @@ def design_counts_r1(spark: SparkSession, d: str) -> DataFrame:
     return n.withColumn("is_reference", F.when(F.col("kind") == "sector", by_size == 1).otherwise(by_name == 1))
 
 
-def _residuals(spark: SparkSession, d: str) -> tuple[DataFrame, dict]:
-    return stats.residualize(_panel(spark, d), "fwd_ret", WINDOWS, *TRAIN, cap="vol_contraction_ratio")
+def _residuals(spark: SparkSession, d: str, end: str = TRAIN[1]) -> tuple[DataFrame, dict]:
+    return stats.residualize(_panel(spark, d), "fwd_ret", WINDOWS, TRAIN[0], end, cap="vol_contraction_ratio")
 
 
 def ols_r2(spark: SparkSession, d: str) -> DataFrame:
@@ -302,8 +302,8 @@ def _estimable() -> Column:
     return good & F.col("base_duration_days").isNotNull()
 
 
-def _estimation_rows(spark: SparkSession, d: str) -> DataFrame:
-    out, _ = _residuals(spark, d)
+def _estimation_rows(spark: SparkSession, d: str, end: str = TRAIN[1]) -> DataFrame:
+    out, _ = _residuals(spark, d, end)
     return out.filter(_estimable() & F.col("universe_variant").isNotNull())
 
 
@@ -383,20 +383,37 @@ def sign_trend_r11(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("trend", F.when(F.col("last") > F.col("first") * 1.1, "growing").when(F.col("last") < F.col("first") * 0.9, "shrinking").otherwise("flat"))
 
 
-def _draws(spark: SparkSession, d: str, real: int = 40, placebo: int = 20) -> DataFrame:
-    rows = _estimation_rows(spark, d).filter((F.col("universe_variant") == "loose") & (F.col("date") <= F.lit(TRAIN[1]).cast("date")))
-    pdf = rows.select("vol_contraction_ratio_w", "adr_pct", "fwd_ret_resid").orderBy("date", "ticker", "setup_id").limit(quantreg.MOST_ROWS + 1).toPandas()
-    x = np.column_stack([np.ones(len(pdf)), pdf["vol_contraction_ratio_w"], pdf["adr_pct"]])
-    return quantreg.bootstrap(spark, x, pdf["fwd_ret_resid"].to_numpy(), {"real": real, "placebo": placebo}, "loose", 20260514)
+#: Runs of the bootstrap: label, panel, end of the training dates, placebo draws wanted.
+RUNS = (("canonical", "loose", TRAIN[1], True), ("canonical", "strict", TRAIN[1], True), ("exploratory", "loose", "2024-12-31", False))
+
+
+def _draws(spark: SparkSession, d: str, real: int = 1000, placebo: int = 500) -> DataFrame:
+    """Draws of all RUNS; label is label/panel."""
+    every, fitted = [], {}
+    for label, panel, end, with_placebo in RUNS:
+        if end not in fitted:
+            fitted[end] = _estimation_rows(spark, d, end)
+        rows = fitted[end].filter((F.col("universe_variant") == panel) & F.col("date").between(F.lit(TRAIN[0]).cast("date"), F.lit(end).cast("date")))
+        pdf = rows.select(*TERMS["primary"], "fwd_ret_resid").orderBy("date", "ticker", "setup_id").limit(quantreg.MOST_ROWS + 1).toPandas()
+        x = np.column_stack([np.ones(len(pdf)), pdf[TERMS["primary"]].to_numpy(float)])
+        draws = quantreg.bootstrap(spark, x, pdf["fwd_ret_resid"].to_numpy(), {"real": real} | ({"placebo": placebo} if with_placebo else {}), f"{label}/{panel}", 20260514)
+        every.append(draws.withColumns({"train_start": F.lit(TRAIN[0]).cast("date"), "train_end": F.lit(end).cast("date"), "n_train": F.lit(len(pdf)).cast("bigint")}))
+    return reduce(DataFrame.unionByName, every)
+
+
+def _labelled(out: DataFrame) -> DataFrame:
+    parts = F.split("label", "/")
+    return out.withColumns({"label": parts[0], "panel": parts[1]})
 
 
 def bootstrap_r12_r14_r17(spark: SparkSession, d: str) -> DataFrame:
     """The long draw table."""
-    return quantreg.number_draws(_draws(spark, d))
+    return _labelled(quantreg.number_draws(_draws(spark, d)))
 
 
 def inference_r15_r16(spark: SparkSession, d: str) -> DataFrame:
-    return quantreg.inference(_draws(spark, d))
+    # the summary reads the draws three times
+    return _labelled(quantreg.inference(_draws(spark, d).persist()))
 
 
 QUERIES = {f.__name__: f for f in (
