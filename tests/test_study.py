@@ -32,3 +32,12 @@ def test_bootstrap_runs_every_panel(spark):
     point = draws.filter("label = 'canonical/strict' and mode = 'point'").first()
     assert x.shape[1] == 5 and abs(point.beta_50 - quantreg.solve(x, rows["fwd_ret_resid"].to_numpy(), 0.5, 5000)[0][1]) < 1e-4
     draws.unpersist()
+
+
+def test_sensitivity_is_unwinsorised_with_all_regressors(spark):
+    terms = {}
+    for r in study.estimation_grid_r5_r6(spark, DIR).collect():
+        terms.setdefault(r.spec, set()).add(r.term)
+    rest = {"const", "adr_pct", "base_duration_days", "rs_slope_vs_spy"}
+    assert terms == {"primary": rest | {"vol_contraction_ratio_w"}, "sensitivity": rest | {"vol_contraction_ratio"}}
+    assert {(r.panel, r.spec) for r in study.headline_r7(spark, DIR).collect()} == {(p, s) for p in ("loose", "strict") for s in terms}

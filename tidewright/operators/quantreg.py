@@ -190,10 +190,10 @@ def estimation_grid(df: DataFrame, panel: str, specs: dict[str, list[str]], y: s
     return near.unionByName(df.sparkSession.createDataFrame(far, COEF_SCHEMA)) if far else near
 
 
-def headline(coefs: DataFrame, term: str, low: float = 0.5, high: float = 0.9) -> DataFrame:
-    """panel, spec, beta_low, beta_high and diff = beta_high - beta_low of one term."""
+def headline(coefs: DataFrame, term: str | list[str], low: float = 0.5, high: float = 0.9) -> DataFrame:
+    """panel, spec, beta_low, beta_high and diff = beta_high - beta_low of one term, or of the one of several that a spec has."""
     of = lambda t: F.max(F.when(F.col("tau") == t, F.col("coef")))
-    out = coefs.filter(F.col("term") == term).groupBy("panel", "spec").agg(of(low).alias("beta_low"), of(high).alias("beta_high"))
+    out = coefs.filter(F.col("term").isin(term)).groupBy("panel", "spec").agg(of(low).alias("beta_low"), of(high).alias("beta_high"))
     return out.withColumn("diff", F.col("beta_high") - F.col("beta_low"))
 
 

@@ -292,7 +292,8 @@ def slices_a30(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- estimation
 
-TERMS = {"primary": ["vol_contraction_ratio_w", "adr_pct", "base_duration_days", "rs_slope_vs_spy"], "sensitivity": ["vol_contraction_ratio_w", "adr_pct"]}
+TERMS = {"primary": ["vol_contraction_ratio_w", "adr_pct", "base_duration_days", "rs_slope_vs_spy"], "sensitivity": ["vol_contraction_ratio", "adr_pct", "base_duration_days", "rs_slope_vs_spy"]}
+RATIOS = [t[0] for t in TERMS.values()]
 TAUS = [0.1, 0.25, 0.5, 0.75, 0.9]
 
 
@@ -316,7 +317,7 @@ def estimation_grid_r5_r6(spark: SparkSession, d: str) -> DataFrame:
 
 
 def headline_r7(spark: SparkSession, d: str) -> DataFrame:
-    return quantreg.headline(_grid(spark, d), "vol_contraction_ratio_w")
+    return quantreg.headline(_grid(spark, d), RATIOS)
 
 
 def flags_r8(spark: SparkSession, d: str) -> DataFrame:
@@ -330,7 +331,7 @@ def coefficient_table_r9(spark: SparkSession, d: str) -> DataFrame:
 
 def bands_k7(spark: SparkSession, d: str) -> DataFrame:
     """Coefficients by tau with their 95 % bands."""
-    g = _grid(spark, d).filter(F.col("tau").isNotNull() & (F.col("term") == "vol_contraction_ratio_w"))
+    g = _grid(spark, d).filter(F.col("tau").isNotNull() & F.col("term").isin(RATIOS))
     return g.select("panel", "spec", "tau", "coef", (F.col("coef") - 1.96 * F.col("std_err")).alias("lo"), (F.col("coef") + 1.96 * F.col("std_err")).alias("hi"))
 
 
