@@ -91,14 +91,17 @@ def load_findings(df: DataFrame, load: str, rules: list[Rule], limits: Limits =
     return every.select(F.col("load.id").alias(load), "column_name", "finding")
 
 
-def profile(df: DataFrame, load: str, patterns: dict[str, str] | None = None, skip: tuple[str, ...] = ()) -> DataFrame:
+def profile(df: DataFrame, load: str, patterns: dict[str, str] | None = None, skip: tuple[str, ...] = (), rules: list[Rule] | None = None) -> DataFrame:
     """One row per load and column, for every column but ``load`` and ``skip``.
 
     n, n_missing, n_distinct, min and max as text (numeric order for numbers), mean, stddev, n_finite, n_violations (text against a
     pattern that must match somewhere), quartiles q25, q50, q75 of finite numbers, and d_mean: the difference of the mean from that
     of all other loads together in pooled standard deviations.  Dates, times and booleans count as text.
+    share_missing and share_invalid are shares of the load's rows.  A column with a rule is missing and invalid by it (n_violations),
+    not by a pattern.  d_share, of text: half the sum of the absolute differences between the shares of the values in the load and in all
+    other loads together (0: the same shares, 1: no value in common), null where either side has no value.
     """
-    patterns = patterns or {}
+    patterns, by_rule = patterns or {}, {r.column: r for r in rules or []}
     numeric = ("bigint", "int", "smallint", "tinyint", "double", "float")
     parts = []
     for c, kind in df.dtypes:
@@ -111,11 +114,21 @@ def profile(df: DataFrame, load: str, patterns: dict[str, str] | None = None, sk
         else:
             gone, number = text.isNull() | ~text.rlike(r"[^\p{IsWhite_Space}]"), F.lit(None).cast("double")
         bad = F.coalesce(~text.rlike(patterns[c]) & ~gone, F.lit(False)) if c in patterns else F.lit(False)
-        parts.append(F.struct(F.lit(c).alias("column_name"), gone.alias("gone"), F.when(~gone, text).alias("text"), number.alias("x"), bad.alias("bad")))
+        if r := by_rule.get(c):
+            gone = F.coalesce(r.missing(), F.lit(True))
+            bad = ~gone & ~F.coalesce(r.valid, F.lit(False))
+        parts.append(F.struct(F.lit(c).alias("column_name"), gone.alias("gone"), F.when(~gone, text).alias("text"), number.alias("x"), bad.alias("bad"), F.lit(kind not in numeric and not kind.startswith("decimal")).alias("is_text")))
     long = df.select(F.col(load).alias("load"), F.explode(F.array(*parts)).alias("r")).select("load", "r.*")
     # equal values of a load meet once before anything else is counted: distinct counts and power sums come from this table
-    cells = long.groupBy("load", "column_name", "text", "gone", "x", "bad").agg(F.count(F.lit(1)).alias("c"))
+    cells = long.groupBy("load", "column_name", "text", "gone", "x", "bad", "is_text").agg(F.count(F.lit(1)).alias("c"))
     c, x = F.col("c"), F.col("x")
+    # shares of words: 1 - the sum of the smaller share of each word, so that words of one side only need no row of the other
+    words = cells.filter(~F.col("gone") & x.isNull() & F.col("is_text")).groupBy("load", "column_name", "text").agg(F.sum("c").alias("c"))
+    words = words.withColumn("all_c", F.sum("c").over(W.partitionBy("column_name", "text")))
+    totals = words.groupBy("load", "column_name").agg(F.sum("c").alias("w_n")).withColumn("w_all", F.sum("w_n").over(W.partitionBy("column_name")))
+    words = words.withColumn("k", F.struct("load")).join(totals.select(F.struct("load").alias("k"), "column_name", "w_n", "w_all"), ["k", "column_name"])
+    common = F.sum(F.least(c / F.col("w_n"), F.try_divide(F.col("all_c") - c, F.col("w_all") - F.col("w_n"))))
+    moved = words.groupBy("k", "column_name").agg(F.when(F.max(F.col("w_all") - F.col("w_n")) > 0, 1 - common).alias("d_share"))
     stats = cells.groupBy("load", "column_name").agg(
         F.sum("c").alias("n"),
         F.sum(F.when(F.col("gone"), c).otherwise(0)).alias("n_missing"),
@@ -139,8 +152,10 @@ def profile(df: DataFrame, load: str, patterns: dict[str, str] | None = None, sk
     q = q.groupBy("load", "column_name").agg(*[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(a) for p, a in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
     same = stats["load"].eqNullSafe(q["load"]) & (stats["column_name"] == q["column_name"])
     out = stats.join(q, same, "left").drop(q["load"]).drop(q["column_name"])
+    out = out.withColumn("k", F.struct("load")).join(moved, ["k", "column_name"], "left")
     return out.select(
         F.col("load").alias(load), "column_name", "n", "n_missing", "n_distinct", "n_finite", "n_violations",
+        (F.col("n_missing") / F.col("n")).alias("share_missing"), (F.col("n_violations") / F.col("n")).alias("share_invalid"),
         F.coalesce(F.col("min_x").cast("string"), F.col("min_t")).alias("least"), F.coalesce(F.col("max_x").cast("string"), F.col("max_t")).alias("most"),
-        "mean", "stddev", "q25", "q50", "q75", "d_mean",
+        "mean", "stddev", "q25", "q50", "q75", "d_mean", "d_share",
     )

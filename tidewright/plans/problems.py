@@ -49,8 +49,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_profile(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "m2_setups_with_features")
-    return profile(rows, "load_id", {"ticker": r"^[A-Z]{1,5}(\.[A-Z])?$", "universe_variant": "^(loose|strict)$", "sector": r"^[A-Z][a-z]+( [A-Z][a-z]+)*$"}, skip=("loaded_at",))
+    """Every column per load; the three columns of p2_found by its rules."""
+    rows, rules = _rules(spark, d)
+    return profile(rows, "load_id", {"ticker": r"^[A-Z]{1,5}(\.[A-Z])?$", "universe_variant": "^(loose|strict)$"}, ("_listed", "_known"), rules)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
