@@ -68,7 +68,9 @@ MOST_LANGUAGES = 1000
 
 
 def _detected(spark: SparkSession, d: str) -> DataFrame:
-    languages = [(r[0], r[1]) for r in table(spark, d, "lang_list").select("lang", "lang_name").filter(F.col("lang").isNotNull()).orderBy("lang").limit(MOST_LANGUAGES).collect()]
+    languages = [(r[0], r[1]) for r in table(spark, d, "lang_list").select("lang", "lang_name").filter(F.col("lang").isNotNull()).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     return detect(table(spark, d, "documents"), languages)
 
 
