@@ -63,8 +63,30 @@ def test_orphans_of_every_kind(spark):
 def test_orphans_of_empty_tables(spark):
     assert orphan_cascade(frames(spark, [], [], []), LINKS).count() == 0
     assert orphan_cascade(frames(spark, [(1, "A", T(2015, 1, 1))], [(1, "A", None, None)], []), LINKS).filter("not inherited").count() == 1
-    with pytest.raises(ValueError):
-        orphan_cascade(frames(spark, [], [], []), [Link("s", "t", absent), Link("t", "s", absent)])
+
+
+def test_cascade_follows_chains_cycles_and_self_references(spark):
+    # a tree of rows that refer to their parent's id: 1 is its own parent, 4's is gone, 5 and 6 hang on 4, 7 and 8 refer to each other
+    tree = [(1, 1), (2, 1), (3, 2), (4, 99), (5, 4), (6, 5), (7, 8), (8, 7), (9, None), (10, 9)]
+    df = spark.createDataFrame(tree, "row_id bigint, up bigint").withColumns({"period": F.lit("2020-01"), "reason": F.lit("clash"), "round": F.lit("x")})
+    out = orphan_cascade({"t": df}, [Link("t", "t", absent, child_key="up", parent_key="row_id")]).collect()
+    assert sorted((r.row_id, r.reason, r.inherited, r.round) for r in out) == [
+        (4, "missing", False, 0), (5, "orphaned parent", True, 1), (6, "orphaned parent", True, 2), (9, "missing", False, 0), (10, "orphaned parent", True, 1),
+    ]
+    assert {r.period for r in out} == {"2020-01"}
+    # two tables in a circle, one of which also refers to a third
+    a = spark.createDataFrame([(1, 10, "x"), (2, 20, "y")], "row_id bigint, b bigint, c string")
+    b = spark.createDataFrame([(10, 1), (20, 2)], "row_id bigint, a bigint")
+    c = spark.createDataFrame([("x",)], "key string")
+    links = [Link("a", "b", absent, "b", "row_id"), Link("b", "a", absent, "a", "row_id"), Link("a", "c", absent, "c", "key")]
+    got = sorted((r.child_table, r.row_id, r.parent_table, r.round) for r in orphan_cascade({"a": a, "b": b, "c": c}, links).collect())
+    assert got == [("a", 2, "b", 2), ("a", 2, "c", 0), ("b", 20, "a", 1)]
+
+
+def test_long_chains_reach_the_end(spark):
+    df = spark.createDataFrame([(i, i - 1) for i in range(1, 13)], "row_id bigint, up bigint")
+    out = orphan_cascade({"t": df}, [Link("t", "t", absent, "up", "row_id")]).collect()
+    assert sorted((r.row_id, r.round) for r in out) == [(i, i - 1) for i in range(1, 13)]
 
 
 # ---- quantiles and profiles
@@ -265,3 +287,23 @@ def test_rolling_totals_against_brute_force(spark):
             day += datetime.timedelta(1)
     assert n == len(got)
     assert rolling_totals(df.limit(0)).count() == 0
+
+
+def test_tiles_do_not_change_the_scale_of_a_series(spark):
+    # volatility, and the share of held closes, change along the series
+    rng = np.random.default_rng(9)
+    n = 4200
+    step = rng.normal(0, np.where(np.arange(n) < 2000, 0.002, 0.03), n)
+    step[2500:][rng.random(n - 2500) < 0.3] = 0
+    c = 50 * np.exp(np.cumsum(step - step.mean()))
+    rows = [[i, "f", "A", D(2005, 1, 1) + datetime.timedelta(i), float(x), float(x * 1.01), float(x * 0.99), float(x), int(100_000 * np.exp(rng.normal(0, 0.3))) + i, T(2021, 1, 1)] for i, x in enumerate(c)]
+    for i in range(30, n, 97):
+        rows[i][5] *= float(np.exp(rng.uniform(0.02, 0.5)))
+    for i in (511, 512, 1023, 1024, 2047, 2048, 4095, 4096):
+        for j in range(i, i + 3):
+            rows[j][7] = rows[i][7]
+    got = {tile: {k: tuple(v) for k, v in flagged(spark, rows, tile=tile).items()} for tile in (128, 512, 1024, 2048, 8192)}
+    assert len(got[8192]) > 10
+    for tile in (512, 1024, 2048):
+        assert got[tile] == got[8192], tile
+    assert set(got[128]) == set(got[8192])

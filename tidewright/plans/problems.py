@@ -13,22 +13,34 @@ from tidewright.operators.trailing import rolling_totals
 from tidewright.sources.tables import table
 
 
-def _cascade(spark: SparkSession, d: str) -> DataFrame:
-    setups = table(spark, d, "m1_setups").select(F.col("setup_id").alias("row_id"), canonical_ticker(F.col("ticker")).alias("key"), F.col("loaded_at").cast("timestamp_ntz").alias("at"))
-    types = table(spark, d, "yfinance_types").select(F.col("type_id").alias("row_id"), canonical_ticker(F.col("ticker")).alias("key"), instant(F.col("fetched_at")).alias("start"), instant(F.col("removed_at")).alias("until"))
+def _cascade(spark: SparkSession, d: str, features: bool = False) -> DataFrame:
+    """Orphans of the setups and their types; with ``features`` also those of the setups' features, one link further down."""
+    month = lambda c: F.date_format(c, "yyyy-MM").alias("period")
+    setups = table(spark, d, "m1_setups").select(F.col("setup_id").alias("row_id"), canonical_ticker(F.col("ticker")).alias("key"), F.col("loaded_at").cast("timestamp_ntz").alias("at"), month(F.col("date")))
+    fetched = instant(F.col("fetched_at"))
+    types = table(spark, d, "yfinance_types").select(F.col("type_id").alias("row_id"), canonical_ticker(F.col("ticker")).alias("key"), fetched.alias("start"), instant(F.col("removed_at")).alias("until"), month(fetched))
     bars = table(spark, d, "daily_bars").select("ticker").distinct().select(canonical_ticker(F.col("ticker")).alias("key"))
-    return orphan_cascade({"m1_setups": setups, "yfinance_types": types, "daily_bars": bars}, [Link("m1_setups", "yfinance_types", absent_at), Link("yfinance_types", "daily_bars", absent)])
+    tables = {"m1_setups": setups, "yfinance_types": types, "daily_bars": bars}
+    links = [Link("m1_setups", "yfinance_types", absent_at), Link("yfinance_types", "daily_bars", absent)]
+    if features:
+        tables["m2_setups_with_features"] = table(spark, d, "m2_setups_with_features").select(F.col("setup_id").alias("row_id"), F.col("setup_id").alias("key"), month(F.col("date")))
+        links.append(Link("m2_setups_with_features", "m1_setups", absent, parent_key="row_id"))
+    return orphan_cascade(tables, links)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The direct orphans of the whole cascade; p1_periods has the inherited ones too."""
     return _cascade(spark, d).filter(~F.col("inherited")).select("child_table", "row_id", "reason")
 
 
 def p1_periods(spark: SparkSession, d: str) -> DataFrame:
     """Orphans per referring table, month, reason and kind."""
-    months = table(spark, d, "m1_setups").select(F.lit("m1_setups").alias("child_table"), F.col("setup_id").alias("row_id"), F.date_format("date", "yyyy-MM").alias("month"))
-    months = months.unionByName(table(spark, d, "yfinance_types").select(F.lit("yfinance_types").alias("child_table"), F.col("type_id").alias("row_id"), F.date_format(instant(F.col("fetched_at")), "yyyy-MM").alias("month")))
-    return _cascade(spark, d).join(months, ["child_table", "row_id"]).groupBy("child_table", "month", "reason", "inherited").agg(F.count(F.lit(1)).alias("n"))
+    return _cascade(spark, d).groupBy("child_table", F.col("period").alias("month"), "reason", "inherited").agg(F.count(F.lit(1)).alias("n"))
+
+
+def p1_inherited(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose every target is an orphan itself, with the round that found them; feature rows are two links away from the types."""
+    return _cascade(spark, d, True).filter("inherited").select("child_table", "row_id", "parent_table", F.col("round").cast("bigint").alias("round"))
 
 
 def _rules(spark: SparkSession, d: str) -> tuple[DataFrame, list[Rule]]:
@@ -68,7 +80,7 @@ def p4_rolling(spark: SparkSession, d: str) -> DataFrame:
     return out.select("feed", "ticker", "day", "is_bar", "volume", "total_7d", "total_30d", *rounded)
 
 
-QUERIES = {"p1_found": p1_found, "p1_periods": p1_periods, "p2_found": p2_found, "p2_profile": p2_profile, "p3_found": p3_found, "p3_reasons": p3_reasons, "p4_rolling": p4_rolling}
+QUERIES = {"p1_found": p1_found, "p1_periods": p1_periods, "p1_inherited": p1_inherited, "p2_found": p2_found, "p2_profile": p2_profile, "p3_found": p3_found, "p3_reasons": p3_reasons, "p4_rolling": p4_rolling}
 
 _TICKER = r"nullif(regexp_replace(regexp_replace(upper(ticker), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '[\s\p{Z}]*[./-][\s\p{Z}]*|[\s\p{Z}]+', '.', 'g'), '')"
 _INSTANT = r"case when {c} is null then null when regexp_matches({c}, '(Z|[+-]\d\d:\d\d)$') then cast({c} as timestamptz) at time zone 'UTC' else cast({c} as timestamp) end"
@@ -93,6 +105,8 @@ SQL = {
         union all select 'yfinance_types', strftime(f, '%Y-%m'), 'missing', false from yd
         union all select 'm1_setups', strftime(date, '%Y-%m'), 'orphaned parent', true from si)
         select child_table, month, reason, inherited, count(*) as n from o group by all""",
+    "p1_inherited": f"""with {_ORPHANS} select 'm1_setups' as child_table, setup_id as row_id, 'yfinance_types' as parent_table, 1::bigint as round from si
+        union all select 'm2_setups_with_features', m.setup_id, 'm1_setups', case when o.direct then 1 else 2 end from m2_setups_with_features m join (select setup_id, true as direct from sd union all select setup_id, false from si) o using (setup_id)""",
     "p2_found": """
 with v as (
   select load_id, 'rs_slope_vs_spy' as column_name, rs_slope_vs_spy is null or isnan(rs_slope_vs_spy) as miss, rs_slope_vs_spy > -1 and rs_slope_vs_spy < 1 as ok, rs_slope_vs_spy as x, null as w from m2_setups_with_features
