@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewright.functions.text import canonical_ticker, instant
 from tidewright.operators.orphans import Link, absent, absent_at, orphan_cascade
 from tidewright.operators.profile import Rule, load_findings, profile
-from tidewright.operators.spikes import implausible
+from tidewright.operators.spikes import BUCKETS, LEAST, LONGEST, SpikeParams, implausible
 from tidewright.operators.trailing import rolling_totals
 from tidewright.sources.tables import table
 
@@ -98,7 +98,33 @@ si as (select s.setup_id, s.date from s where s.setup_id not in (select setup_id
   select 1 from y where y.type_id not in (select type_id from yd) and y.k = s.k and (y.f is null or y.f <= s.t) and (y.r is null or s.t < y.r)))
 """
 
+_S = SpikeParams()
+_SERIES = "feed, ticker, m"
+_SAME = "a.feed is not distinct from b.feed and a.ticker is not distinct from b.ticker and a.m = b.m"
+_OWN = "open <= 0 or high <= 0 or low <= 0 or close <= 0 or volume < 0 or high < low or open > high or open < low or close > high or close < low"
+_SPIKES = f"""
+d as (select *, row_number() over (partition by feed, ticker, date order by loaded_at nulls first, bar_id) as k, row_number() over (partition by feed, ticker, date order by loaded_at desc nulls last, bar_id desc) as l from daily_bars where date is not null),
+x as (select bar_id, feed, ticker, date, k, l, volume, m, case when isfinite(v) then v end as v from (select *, unnest(['high', 'low', 'close', 'volume']) as m, unnest([high, low, close, volume::double]) as v from d)),
+r as (select {_SERIES}, date, ln(v) as y, median(ln(v)) over (w rows between {_S.half} preceding and {_S.half} following) as level, median(ln(v)) over (w rows between {_S.half} preceding and 1 preceding) as y0,
+  median(ln(v)) over (w rows between 1 following and {_S.half} following) as y1 from x where l = 1 and v > 0 window w as (partition by {_SERIES} order by date)),
+h as (select {_SERIES}, case when y = level then {LEAST} else greatest(floor({BUCKETS} * log2(abs(y - level))), {LEAST}) end as step, count(*) as n from r group by all),
+c as (select *, sum(n) over (partition by {_SERIES} order by step) as upto, sum(n) over (partition by {_SERIES}) / 2 as half from h),
+mad as (select {_SERIES}, min(case when step = {LEAST} then 0 else pow(2.0, (step + (half - upto + n) / n) / {BUCKETS}) end) as mad from c where upto >= half and upto - n < half group by all),
+f as (select x.bar_id, x.feed, x.ticker, x.m, ln(x.v) - b.y0 as e0, ln(x.v) - b.y1 as e1 from (select *, v as w from x where v > 0) x join r b on x.feed is not distinct from b.feed and x.ticker is not distinct from b.ticker and x.m = b.m and x.date = b.date),
+spike as (select distinct bar_id from f a join mad b on {_SAME} where sign(e0) = sign(e1) and least(abs(e0), abs(e1)) >
+  case when a.m = 'volume' then greatest({_S.volume_z} * greatest(1.4826 * mad, {_S.volume_floor}), {_S.volume_least}) else {_S.price_z} * greatest(1.4826 * mad, {_S.price_floor}) end),
+q as (select *, 'first' as e from x where k = 1 and m in ('close', 'volume') and v is not null and volume is distinct from 0 union all select *, 'last' from x where l = 1 and m in ('close', 'volume') and v is not null and volume is distinct from 0),
+q1 as (select *, coalesce(v = lag(v) over (partition by {_SERIES}, e order by date), false) as again from q),
+q2 as (select *, sum((not again)::int) over (partition by {_SERIES}, e order by date) as island from q1),
+q3 as (select *, count(*) over (partition by {_SERIES}, e, island) as size, sum((not again)::int) over (partition by {_SERIES}, e) as n_runs, count(*) over (partition by {_SERIES}, e) as n from q2),
+q4 as (select *, sum((not again and size > 1)::int) over (partition by {_SERIES}, e) as longer from q3),
+q5 as (select * from q4 where again and size >= {_S.run_least} and n * pow((greatest(longer - 1, 0) + 0.5) / (n_runs + 1), least(size - 1, {LONGEST})) < {_S.run_chance}),
+stuck as (select distinct a.bar_id from x a join q5 b on {_SAME} and a.date = b.date and a.v = b.v where a.volume > 0)"""
+
 SQL = {
+    "p3_found": f"with {_SPIKES} select bar_id from daily_bars where {_OWN} union select bar_id from spike union select bar_id from stuck",
+    "p3_reasons": f"""with {_SPIKES}, o as (select bar_id, true as o, false as s, false as k from daily_bars where {_OWN} union all select bar_id, false, true, false from spike union all select bar_id, false, false, true from stuck)
+        select bar_id, bool_or(o) as out_of_bounds, bool_or(s) as is_spike, bool_or(k) as is_stuck from o group by 1""",
     "p1_found": f"with {_ORPHANS} select 'm1_setups' as child_table, setup_id as row_id, reason from sd union all select 'yfinance_types', type_id, 'missing' from yd",
     "p1_periods": f"""with {_ORPHANS}, o as (
         select 'm1_setups' as child_table, strftime(date, '%Y-%m') as month, reason, false as inherited from sd
