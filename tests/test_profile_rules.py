@@ -1,5 +1,7 @@
 """Profiles judge by rules, measure changes of categories and leave no column out."""
 
+import pytest
+
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
@@ -30,3 +32,24 @@ def test_p2_profile_counts_what_p2_found_judges(spark, duck):
         count(*) filter (trim(sector) <> '' and sector <> 'Unknown' and sector not in (select sector from sector_list)) from m2_setups_with_features""").fetchall()[0]
     total = lambda c, f: sum(r[f] for (_, k), r in out.items() if k == c)
     assert (total("rs_slope_vs_spy", "n_violations"), total("base_duration_days", "n_violations"), total("sector", "n_missing"), total("sector", "n_violations")) == want
+
+
+def test_moments_of_large_numbers_and_merging(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    data = {1: 1e9 + np.arange(10.0), 2: 1e9 + 4 + np.arange(7.0) / 3, 3: 1e9 + rng.normal(size=500)}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in data.items() for v in vs] + [(1, None), (2, float("nan")), (2, float("inf")), (4, None)], "load_id int, x double").repartition(5)
+    out = {r.load_id: r for r in profile(df, "load_id").collect()}
+    for k, v in data.items():
+        rest = np.concatenate([w for j, w in data.items() if j != k])
+        assert out[k].stddev == pytest.approx(v.std(ddof=1), rel=1e-6) and out[k].m2 == pytest.approx(v.var() * len(v), rel=1e-6)
+        want = (v.mean() - rest.mean()) / np.sqrt((v.var(ddof=1) + rest.var(ddof=1)) / 2)
+        assert abs(out[k].d_mean - want) < 1e-5
+    assert (out[4].n, out[4].n_missing, out[4].n_finite, out[4].n_distinct, out[4].mean, out[4].d_mean, out[4].least) == (1, 1, 0, 0, None, None, None)
+    assert (out[2].n_distinct, out[2].n_finite, out[2].n_missing) == (8, 7, 1)
+    # the kept sums of two loads give those of both together
+    n, mean, m2 = ([getattr(out[k], c) for k in (1, 2)] for c in ("n_finite", "mean", "m2"))
+    both = np.concatenate([data[1], data[2]])
+    centre = (n[0] * mean[0] + n[1] * mean[1]) / sum(n)
+    assert sum(m + k * (u - centre) ** 2 for k, u, m in zip(n, mean, m2)) == pytest.approx(both.var() * len(both), rel=1e-6)

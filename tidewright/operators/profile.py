@@ -1,8 +1,8 @@
 """Column-level data quality profiles per load, and loads that went wrong.
 
-Numbers are described by exact power sums (n, sum, sum of squares about a shift), which merge across
-partitions and loads; shifts between loads by standardised differences of means and by quartiles; all
-columns by shares of missing and invalid values, distinct counts, ranges and pattern violations.
+Numbers are described by power sums in centred form (n, mean, m2: the sum of squared differences from the mean), which merge across
+partitions and loads without cancellation (``merged_moments``); shifts between loads by standardised differences of means and by quartiles; all
+columns by shares of missing and invalid values, grouped distinct counts, ranges and pattern violations.
 
 Defined results
 * Missing: null, NaN, blank text, or a column's own missing word.  Invalid: not missing and against the rule.
@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
+from pyspark.sql.window import WindowSpec
 
 from tidewright.operators.quantiles import exact_quantiles
 
@@ -66,8 +67,36 @@ def _median_over(groups: list[str], value: str) -> Column:
     return F.median(value).over(W.partitionBy(*groups))
 
 
+def power_sums(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys..., n_finite, mean, m2, least_number, most_number of the finite values; merged map-side, one row per group."""
+    x = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), F.col(value))
+    out = df.groupBy(*keys).agg(F.count(x).alias("n_finite"), F.avg(x).alias("mean"), F.var_pop(x).alias("_v"), F.min(x).alias("least_number"), F.max(x).alias("most_number"))
+    return out.withColumn("m2", F.col("_v") * F.col("n_finite")).drop("_v")
+
+
+def merged_moments(n: Column, mean: Column, m2: Column, over: WindowSpec) -> tuple[Column, Column, Column]:
+    """n, mean and m2 of all *other* rows of a window of power sums: the sums are moved to the window's mean first, so that nothing cancels."""
+    total = F.sum(n).over(over)
+    centre = F.try_divide(F.sum(F.coalesce(n * mean, F.lit(0.0))).over(over), total)
+    s1 = F.coalesce(n * (mean - centre), F.lit(0.0))
+    s2 = F.coalesce(m2 + n * (mean - centre) * (mean - centre), F.lit(0.0))
+    rest_n, rest_1, rest_2 = total - n, F.sum(s1).over(over) - s1, F.sum(s2).over(over) - s2
+    return rest_n, centre + F.try_divide(rest_1, rest_n), F.greatest(rest_2 - rest_1 * F.try_divide(rest_1, rest_n), F.lit(0.0))
+
+
+def standardised_difference(of: list[str]) -> Column:
+    """The mean's difference from that of the other rows of ``of``, in pooled standard deviations; columns n_finite, mean, m2."""
+    n, mean, m2 = F.col("n_finite"), F.col("mean"), F.col("m2")
+    rest_n, rest_mean, rest_m2 = merged_moments(n, mean, m2, W.partitionBy(*of))
+    var = lambda k, m: F.when(k > 1, m / (k - 1))
+    return F.try_divide(mean - rest_mean, F.sqrt((var(n, m2) + var(rest_n, rest_m2)) / 2))
+
+
 def load_findings(df: DataFrame, load: str, rules: list[Rule], limits: Limits = Limits()) -> DataFrame:
-    """Loads that differ from the others: load, column_name, finding (``missing``, ``invalid`` or ``shifted``)."""
+    """Loads that differ from the others: load, column_name, finding (``missing``, ``invalid`` or ``shifted``), d_mean.
+
+    d_mean: the standardised difference of the valid numbers of the load from those of all others.
+    """
     long = classify(df, load, rules)
     shares = long.groupBy("load", "column_name").agg(F.avg(F.col("is_missing").cast("double")).alias("missing"), F.avg(F.col("is_invalid").cast("double")).alias("invalid"))
     by_share = shares.select("load", "column_name", F.explode(F.array(*[F.struct(F.lit(k).alias("finding"), F.col(k).alias("share")) for k in ("missing", "invalid")])).alias("s")).select("load", "column_name", "s.*")
@@ -88,74 +117,62 @@ def load_findings(df: DataFrame, load: str, rules: list[Rule], limits: Limits =
     filled = grid.join(counts, ["load", "column_name", "word"], "left").withColumn("share", F.coalesce(F.col("c"), F.lit(0)) / F.col("n"))
     odd_word = filled.withColumn("m", _median_over(["column_name", "word"], "share")).filter(F.abs(F.col("share") - F.col("m")) > limits.category).select("load", "column_name", F.lit("shifted").alias("finding")).distinct()
     every = odd_share.unionByName(odd_number).unionByName(odd_word)
-    return every.select(F.col("load.id").alias(load), "column_name", "finding")
+    sums = power_sums(long.filter(F.col("number").isNotNull()), ["load", "column_name"], "number").select("load", "column_name", standardised_difference(["column_name"]).alias("d_mean"))
+    return every.join(sums, ["load", "column_name"], "left").select(F.col("load.id").alias(load), "column_name", "finding", "d_mean")
 
 
 def profile(df: DataFrame, load: str, patterns: dict[str, str] | None = None, skip: tuple[str, ...] = (), rules: list[Rule] | None = None) -> DataFrame:
     """One row per load and column, for every column but ``load`` and ``skip``.
 
-    n, n_missing, n_distinct, min and max as text (numeric order for numbers), mean, stddev, n_finite, n_violations (text against a
-    pattern that must match somewhere), quartiles q25, q50, q75 of finite numbers, and d_mean: the difference of the mean from that
-    of all other loads together in pooled standard deviations.  Dates, times and booleans count as text.
+    n, n_missing, n_distinct, least and most as text (numeric order for finite numbers, which are least_number and most_number too), n_finite, mean, m2,
+    stddev, n_violations (text against a pattern that must match somewhere), quartiles q25, q50, q75 of finite numbers, and d_mean: the difference of the
+    mean from that of all other loads together in pooled standard deviations.  Dates, times and booleans count as text.
     share_missing and share_invalid are shares of the load's rows.  A column with a rule is missing and invalid by it (n_violations),
     not by a pattern.  d_share, of text: half the sum of the absolute differences between the shares of the values in the load and in all
     other loads together (0: the same shares, 1: no value in common), null where either side has no value.
+
+    Counts, ranges and power sums are one aggregate that leaves a task as one row per load and column.  Only distinct counts send values: numbers as
+    eight bytes, texts as they are, equal ones of a task once.
     """
     patterns, by_rule = patterns or {}, {r.column: r for r in rules or []}
     numeric = ("bigint", "int", "smallint", "tinyint", "double", "float")
-    parts = []
+    parts, names = [], []
     for c, kind in df.dtypes:
         if c == load or c in skip:
             continue
-        text = F.col(c).cast("string")
-        if kind in numeric or kind.startswith("decimal"):
+        text, is_number = F.col(c).cast("string"), kind in numeric or kind.startswith("decimal")
+        if is_number:
             x = F.col(c).cast("double")
-            gone, number, text = x.isNull() | F.isnan(x), F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x), x.cast("string")
+            gone = x.isNull() | F.isnan(x)
         else:
-            gone, number = text.isNull() | ~text.rlike(r"[^\p{IsWhite_Space}]"), F.lit(None).cast("double")
+            x, gone = F.lit(None).cast("double"), text.isNull() | ~text.rlike(r"[^\p{IsWhite_Space}]")
         bad = F.coalesce(~text.rlike(patterns[c]) & ~gone, F.lit(False)) if c in patterns else F.lit(False)
         if r := by_rule.get(c):
             gone = F.coalesce(r.missing(), F.lit(True))
             bad = ~gone & ~F.coalesce(r.valid, F.lit(False))
-        parts.append(F.struct(F.lit(c).alias("column_name"), gone.alias("gone"), F.when(~gone, text).alias("text"), number.alias("x"), bad.alias("bad"), F.lit(kind not in numeric and not kind.startswith("decimal")).alias("is_text")))
-    long = df.select(F.col(load).alias("load"), F.explode(F.array(*parts)).alias("r")).select("load", "r.*")
-    # equal values of a load meet once before anything else is counted: distinct counts and power sums come from this table
-    cells = long.groupBy("load", "column_name", "text", "gone", "x", "bad", "is_text").agg(F.count(F.lit(1)).alias("c"))
-    c, x = F.col("c"), F.col("x")
-    # shares of words: 1 - the sum of the smaller share of each word, so that words of one side only need no row of the other
-    words = cells.filter(~F.col("gone") & x.isNull() & F.col("is_text")).groupBy("load", "column_name", "text").agg(F.sum("c").alias("c"))
-    words = words.withColumn("all_c", F.sum("c").over(W.partitionBy("column_name", "text")))
-    totals = words.groupBy("load", "column_name").agg(F.sum("c").alias("w_n")).withColumn("w_all", F.sum("w_n").over(W.partitionBy("column_name")))
-    words = words.withColumn("k", F.struct("load")).join(totals.select(F.struct("load").alias("k"), "column_name", "w_n", "w_all"), ["k", "column_name"])
-    common = F.sum(F.least(c / F.col("w_n"), F.try_divide(F.col("all_c") - c, F.col("w_all") - F.col("w_n"))))
-    moved = words.groupBy("k", "column_name").agg(F.when(F.max(F.col("w_all") - F.col("w_n")) > 0, 1 - common).alias("d_share"))
-    stats = cells.groupBy("load", "column_name").agg(
-        F.sum("c").alias("n"),
-        F.sum(F.when(F.col("gone"), c).otherwise(0)).alias("n_missing"),
-        F.count(F.when(~F.col("gone"), F.lit(1))).alias("n_distinct"),
-        F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("text").alias("min_t"), F.max("text").alias("max_t"),
-        F.sum(F.when(x.isNotNull(), c).otherwise(0)).alias("n_finite"),
-        F.sum(x * c).alias("s1"), F.sum(x * x * c).alias("s2"),
-        F.sum(F.when(F.col("bad"), c).otherwise(0)).alias("n_violations"),
+        # 0.0 is added so that -0.0 and 0.0 are one value
+        parts.append(F.struct(F.lit(len(names)).alias("i"), gone.alias("gone"), bad.alias("bad"), F.when(~F.isnan(x), x + 0.0).alias("x"), F.when(~gone, text).alias("text") if not is_number else F.lit(None).cast("string").alias("text")))
+        names.append(c)
+    long = df.select(F.struct(F.col(load).alias("id")).alias("k"), F.explode(F.array(*parts)).alias("r")).select("k", "r.*")
+    x = F.when(F.abs("x") < float("inf"), F.col("x"))
+    stats = long.groupBy("k", "i").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("gone").alias("n_missing"), F.count_if("bad").alias("n_violations"),
+        F.count(x).alias("n_finite"), F.avg(x).alias("mean"), F.var_pop(x).alias("_v"), F.min(x).alias("least_number"), F.max(x).alias("most_number"),
     )
-    every = W.partitionBy("column_name")
-    n, s1, s2 = F.col("n_finite"), F.col("s1"), F.col("s2")
-    rest_n, rest_1, rest_2 = (F.sum(k).over(every) - F.coalesce(F.col(k), F.lit(0)) for k in ("n_finite", "s1", "s2"))
-
-    def var(n: Column, a: Column, b: Column) -> Column:
-        return F.when(n > 1, F.greatest((b - a * F.try_divide(a, n)) / (n - 1), F.lit(0.0)))
-
-    stats = stats.withColumns({"mean": F.try_divide(s1, n), "stddev": F.sqrt(var(n, s1, s2)), "rest_mean": F.try_divide(rest_1, rest_n), "rest_var": var(rest_n, rest_1, rest_2)})
-    pooled = F.sqrt((F.col("stddev") * F.col("stddev") + F.col("rest_var")) / 2)
-    stats = stats.withColumn("d_mean", F.try_divide(F.col("mean") - F.col("rest_mean"), pooled))
-    q = exact_quantiles(long.filter(x.isNotNull()), ["load", "column_name"], "x", [0.25, 0.5, 0.75])
-    q = q.groupBy("load", "column_name").agg(*[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(a) for p, a in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
-    same = stats["load"].eqNullSafe(q["load"]) & (stats["column_name"] == q["column_name"])
-    out = stats.join(q, same, "left").drop(q["load"]).drop(q["column_name"])
-    out = out.withColumn("k", F.struct("load")).join(moved, ["k", "column_name"], "left")
+    stats = stats.withColumn("m2", F.col("_v") * F.col("n_finite")).withColumn("d_mean", standardised_difference(["i"]))
+    values = long.filter(~F.col("gone")).groupBy("k", "i", "x", "text").agg(F.count(F.lit(1)).alias("c"))
+    distinct = values.groupBy("k", "i").agg(F.count(F.lit(1)).alias("n_distinct"), F.min("text").alias("least_text"), F.max("text").alias("most_text"))
+    # shares of words: 1 - the sum of the smaller share of each word, so that words of one side only need no row of the other
+    words = values.filter(F.col("text").isNotNull()).withColumn("all_c", F.sum("c").over(W.partitionBy("i", "text")))
+    totals = words.groupBy("k", "i").agg(F.sum("c").alias("w_n")).withColumn("w_all", F.sum("w_n").over(W.partitionBy("i")))
+    common = F.sum(F.least(F.col("c") / F.col("w_n"), F.try_divide(F.col("all_c") - F.col("c"), F.col("w_all") - F.col("w_n"))))
+    moved = words.join(totals, ["k", "i"]).groupBy("k", "i").agg(F.when(F.max(F.col("w_all") - F.col("w_n")) > 0, 1 - common).alias("d_share"))
+    q = exact_quantiles(long.withColumn("x", x).filter(F.col("x").isNotNull()), ["k", "i"], "x", [0.25, 0.5, 0.75])
+    q = q.groupBy("k", "i").agg(*[F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(a) for p, a in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))])
+    out = stats.join(distinct, ["k", "i"], "left").join(moved, ["k", "i"], "left").join(q, ["k", "i"], "left")
     return out.select(
-        F.col("load").alias(load), "column_name", "n", "n_missing", "n_distinct", "n_finite", "n_violations",
+        F.col("k.id").alias(load), F.element_at(F.array(*[F.lit(c) for c in names]), F.col("i") + 1).alias("column_name"), "n", "n_missing", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), "n_finite", "n_violations",
         (F.col("n_missing") / F.col("n")).alias("share_missing"), (F.col("n_violations") / F.col("n")).alias("share_invalid"),
-        F.coalesce(F.col("min_x").cast("string"), F.col("min_t")).alias("least"), F.coalesce(F.col("max_x").cast("string"), F.col("max_t")).alias("most"),
-        "mean", "stddev", "q25", "q50", "q75", "d_mean", "d_share",
+        F.coalesce(F.col("least_number").cast("string"), "least_text").alias("least"), F.coalesce(F.col("most_number").cast("string"), "most_text").alias("most"), "least_number", "most_number", "least_text", "most_text",
+        "mean", "m2", F.when(F.col("n_finite") > 1, F.sqrt(F.col("m2") / (F.col("n_finite") - 1))).alias("stddev"), "q25", "q50", "q75", "d_mean", "d_share",
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.functions.text import canonical_ticker, instant
@@ -57,13 +57,29 @@ def _rules(spark: SparkSession, d: str) -> tuple[DataFrame, list[Rule]]:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     rows, rules = _rules(spark, d)
-    return load_findings(rows, "load_id", rules)
+    return load_findings(rows, "load_id", rules).select("load_id", "column_name", "finding")
+
+
+def _digits(c: str) -> Column:
+    """Rounded to significant digits: quartiles, which are no sums, to twelve, others to seven."""
+    return F.when(F.col(c).isNotNull(), F.format_string("%.11e" if c[0] == "q" else "%.6e", F.col(c)).cast("double")).alias(c)
+
+
+PATTERNS = {"ticker": r"^[A-Z]{1,5}(\.[A-Z])?$", "universe_variant": "^(loose|strict)$"}
+MEASURES = ["mean", "stddev", "q25", "q50", "q75", "d_mean", "d_share"]
 
 
 def p2_profile(spark: SparkSession, d: str) -> DataFrame:
     """Every column per load; the three columns of p2_found by its rules."""
     rows, rules = _rules(spark, d)
-    return profile(rows, "load_id", {"ticker": r"^[A-Z]{1,5}(\.[A-Z])?$", "universe_variant": "^(loose|strict)$"}, ("_listed", "_known"), rules)
+    out = profile(rows, "load_id", PATTERNS, ("_listed", "_known"), rules)
+    return out.select("load_id", "column_name", "n", "n_missing", "n_distinct", "n_finite", "n_violations", "share_missing", "share_invalid", "least_number", "most_number", "least_text", "most_text", *[_digits(c) for c in MEASURES])
+
+
+def p2_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The findings with the standardised difference of the load's valid numbers from those of all others."""
+    rows, rules = _rules(spark, d)
+    return load_findings(rows, "load_id", rules).select("load_id", "column_name", "finding", _digits("d_mean"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +96,7 @@ def p4_rolling(spark: SparkSession, d: str) -> DataFrame:
     return out.select("feed", "ticker", "day", "is_bar", "volume", "total_7d", "total_30d", *rounded)
 
 
-QUERIES = {"p1_found": p1_found, "p1_periods": p1_periods, "p1_inherited": p1_inherited, "p2_found": p2_found, "p2_profile": p2_profile, "p3_found": p3_found, "p3_reasons": p3_reasons, "p4_rolling": p4_rolling}
+QUERIES = {"p1_found": p1_found, "p1_periods": p1_periods, "p1_inherited": p1_inherited, "p2_found": p2_found, "p2_profile": p2_profile, "p2_evidence": p2_evidence, "p3_found": p3_found, "p3_reasons": p3_reasons, "p4_rolling": p4_rolling}
 
 _TICKER = r"nullif(regexp_replace(regexp_replace(upper(ticker), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '[\s\p{Z}]*[./-][\s\p{Z}]*|[\s\p{Z}]+', '.', 'g'), '')"
 _INSTANT = r"case when {c} is null then null when regexp_matches({c}, '(Z|[+-]\d\d:\d\d)$') then cast({c} as timestamptz) at time zone 'UTC' else cast({c} as timestamp) end"
@@ -121,19 +137,7 @@ q4 as (select *, sum((not again and size > 1)::int) over (partition by {_SERIES}
 q5 as (select * from q4 where again and size >= {_S.run_least} and n * pow((greatest(longer - 1, 0) + 0.5) / (n_runs + 1), least(size - 1, {LONGEST})) < {_S.run_chance}),
 stuck as (select distinct a.bar_id from x a join q5 b on {_SAME} and a.date = b.date and a.v = b.v where a.volume > 0)"""
 
-SQL = {
-    "p3_found": f"with {_SPIKES} select bar_id from daily_bars where {_OWN} union select bar_id from spike union select bar_id from stuck",
-    "p3_reasons": f"""with {_SPIKES}, o as (select bar_id, true as o, false as s, false as k from daily_bars where {_OWN} union all select bar_id, false, true, false from spike union all select bar_id, false, false, true from stuck)
-        select bar_id, bool_or(o) as out_of_bounds, bool_or(s) as is_spike, bool_or(k) as is_stuck from o group by 1""",
-    "p1_found": f"with {_ORPHANS} select 'm1_setups' as child_table, setup_id as row_id, reason from sd union all select 'yfinance_types', type_id, 'missing' from yd",
-    "p1_periods": f"""with {_ORPHANS}, o as (
-        select 'm1_setups' as child_table, strftime(date, '%Y-%m') as month, reason, false as inherited from sd
-        union all select 'yfinance_types', strftime(f, '%Y-%m'), 'missing', false from yd
-        union all select 'm1_setups', strftime(date, '%Y-%m'), 'orphaned parent', true from si)
-        select child_table, month, reason, inherited, count(*) as n from o group by all""",
-    "p1_inherited": f"""with {_ORPHANS} select 'm1_setups' as child_table, setup_id as row_id, 'yfinance_types' as parent_table, 1::bigint as round from si
-        union all select 'm2_setups_with_features', m.setup_id, 'm1_setups', case when o.direct then 1 else 2 end from m2_setups_with_features m join (select setup_id, true as direct from sd union all select setup_id, false from si) o using (setup_id)""",
-    "p2_found": """
+_FINDINGS = """
 with v as (
   select load_id, 'rs_slope_vs_spy' as column_name, rs_slope_vs_spy is null or isnan(rs_slope_vs_spy) as miss, rs_slope_vs_spy > -1 and rs_slope_vs_spy < 1 as ok, rs_slope_vs_spy as x, null as w from m2_setups_with_features
   union all select load_id, 'sector', sector is null or not regexp_matches(sector, '[^\\s\\p{Z}]') or sector = 'Unknown', sector in (select sector from sector_list), null, sector from m2_setups_with_features
@@ -149,8 +153,47 @@ cn as (select load_id, w, count(*) as n from c where w is not null group by all)
 tot as (select load_id, sum(n) as t from cn group by all),
 g as (select tot.load_id, s.w, coalesce(cn.n, 0) / t as share from tot cross join (select distinct w from cn) s left join cn on cn.load_id = tot.load_id and cn.w = s.w),
 gm as (select w, quantile_cont(share, 0.5) as m from g group by all),
-f3 as (select distinct load_id, 'sector' as column_name, 'shifted' as finding from g join gm using (w) where abs(share - m) > 0.25)
-select * from f1 union all select * from f2 union all select * from f3""",
+f3 as (select distinct load_id, 'sector' as column_name, 'shifted' as finding from g join gm using (w) where abs(share - m) > 0.25)"""
+
+_NUMBERS = [
+    "setup_id", "mom_12_1", "mom_pct", "legup_duration_days", "legup_gain_pct", "pre_legup_return", "cons_duration_days", "cons_max_drop_pct", "cons_exception_days", "cons_low_trend_slope", "ma_touches_pct_in_cons", "breakout_volume_ratio",
+    "breakout_range_pct", "higher_low_count", "range_contraction_ratio", "pct_closes_above_20ma_in_cons", "dist_52w_high_pct", "close", "adv_20", "vol_contraction_ratio", "adr_pct", "base_duration_days", "rs_slope_vs_spy",
+]
+_TEXTS = ["ticker", "date", "universe_variant", "legup_low_date", "legup_high_date", "cons_start_date", "cons_end_date", "sector", "loaded_at"]
+_BAD = {"rs_slope_vs_spy": "not coalesce(rs_slope_vs_spy > -1 and rs_slope_vs_spy < 1, false)", "base_duration_days": "not coalesce(base_duration_days = cons_duration_days, false)", "sector": "sector not in (select sector from sector_list)"}
+_BAD |= {c: f"not regexp_matches({c}, '{p}')" for c, p in PATTERNS.items()}
+_GONE = {c: f"({c} is null or isnan({c}::double))" for c in _NUMBERS} | {c: f"({c} is null or not regexp_matches({c}::varchar, '[^\\s\\p{{Z}}]'))" for c in _TEXTS}
+_GONE["sector"] = f"({_GONE['sector']} or sector = 'Unknown')"
+_WHAT = {c: f"case when not isnan({c}::double) then {c}::double + 0.0 end as x, null::varchar as w" for c in _NUMBERS} | {c: f"null::double as x, case when not {_GONE[c]} then {c}::varchar end as w" for c in _TEXTS}
+_CELLS = " union all ".join(f"select load_id, '{c}' as column_name, {_GONE[c]} as gone, {f'coalesce(not {_GONE[c]} and {_BAD[c]}, false)' if c in _BAD else 'false'} as bad, {what} from m2_setups_with_features" for c, what in _WHAT.items())
+_DMEAN = """ps as (select load_id, column_name, count(x) as n, avg(x) as mean, var_pop(x) * count(x) as m2 from {cells} where x is not null and isfinite(x) group by all),
+pa as (select *, sum(n) over c as total, sum(n * mean) over c / sum(n) over c as mid from ps window c as (partition by column_name)),
+pb as (select *, n * (mean - mid) as s1, m2 + n * (mean - mid) * (mean - mid) as s2, total - n as rn from pa),
+pc as (select *, sum(s1) over c - s1 as r1, sum(s2) over c - s2 as r2 from pb window c as (partition by column_name)),
+pd as (select load_id, column_name, case when rn > 1 and n > 1 then (mean - mid - r1 / rn) / nullif(sqrt((m2 / (n - 1) + greatest(r2 - r1 * r1 / rn, 0) / (rn - 1)) / 2), 0) end as d_mean from pc)"""
+_DIGITS = lambda c: f"case when {c} is not null then printf('{'%.11e' if c[0] == 'q' else '%.6e'}', {c})::double end as {c}"
+
+SQL = {
+    "p3_found": f"with {_SPIKES} select bar_id from daily_bars where {_OWN} union select bar_id from spike union select bar_id from stuck",
+    "p3_reasons": f"""with {_SPIKES}, o as (select bar_id, true as o, false as s, false as k from daily_bars where {_OWN} union all select bar_id, false, true, false from spike union all select bar_id, false, false, true from stuck)
+        select bar_id, bool_or(o) as out_of_bounds, bool_or(s) as is_spike, bool_or(k) as is_stuck from o group by 1""",
+    "p1_found": f"with {_ORPHANS} select 'm1_setups' as child_table, setup_id as row_id, reason from sd union all select 'yfinance_types', type_id, 'missing' from yd",
+    "p1_periods": f"""with {_ORPHANS}, o as (
+        select 'm1_setups' as child_table, strftime(date, '%Y-%m') as month, reason, false as inherited from sd
+        union all select 'yfinance_types', strftime(f, '%Y-%m'), 'missing', false from yd
+        union all select 'm1_setups', strftime(date, '%Y-%m'), 'orphaned parent', true from si)
+        select child_table, month, reason, inherited, count(*) as n from o group by all""",
+    "p1_inherited": f"""with {_ORPHANS} select 'm1_setups' as child_table, setup_id as row_id, 'yfinance_types' as parent_table, 1::bigint as round from si
+        union all select 'm2_setups_with_features', m.setup_id, 'm1_setups', case when o.direct then 1 else 2 end from m2_setups_with_features m join (select setup_id, true as direct from sd union all select setup_id, false from si) o using (setup_id)""",
+    "p2_found": f"with {_FINDINGS.strip()[5:]} select * from f1 union all select * from f2 union all select * from f3",
+    "p2_evidence": f"with {_FINDINGS.strip()[5:]}, {_DMEAN.format(cells='(select load_id, column_name, x from c)')}, o as (select * from f1 union all select * from f2 union all select * from f3) select load_id, column_name, finding, {_DIGITS('d_mean')} from o left join pd using (load_id, column_name)",
+    "p2_profile": f"""with c as ({_CELLS}), {_DMEAN.format(cells="c")},
+        a as (select load_id, column_name, count(*) as n, count(*) filter (gone) as n_missing, count(distinct coalesce(w, x::varchar)) filter (not gone) as n_distinct, count(*) filter (bad) as n_violations, min(w) as least_text, max(w) as most_text from c group by all),
+        f as (select load_id, column_name, count(x) as n_finite, avg(x) as mean, stddev_samp(x) as stddev, min(x) as least_number, max(x) as most_number, quantile_cont(x, 0.25) as q25, quantile_cont(x, 0.5) as q50, quantile_cont(x, 0.75) as q75 from c where x is not null and isfinite(x) group by all),
+        w as (select load_id, column_name, w, count(*) as k from c where w is not null and not gone group by all), t as (select load_id, column_name, sum(k) as wn from w group by all), wa as (select column_name, w, sum(k) as ka from w group by all), ta as (select column_name, sum(wn) as wall from t group by all),
+        s as (select load_id, column_name, case when max(wall - wn) > 0 then 1 - sum(least(k / wn, (ka - k) / nullif(wall - wn, 0))) end as d_share from w join t using (load_id, column_name) join wa using (column_name, w) join ta using (column_name) group by all)
+        select load_id, column_name, n, n_missing, n_distinct, coalesce(n_finite, 0) as n_finite, n_violations, n_missing / n as share_missing, n_violations / n as share_invalid, least_number, most_number, least_text, most_text, {', '.join(_DIGITS(c) for c in MEASURES)}
+        from a left join f using (load_id, column_name) left join s using (load_id, column_name) left join pd using (load_id, column_name)""",
     "p4_rolling": """
 with one as (select feed, ticker, date, close, volume from daily_bars where date is not null
   qualify row_number() over (partition by feed, ticker, date order by loaded_at desc nulls last, bar_id desc) = 1),
