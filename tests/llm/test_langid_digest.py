@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewright.llm import digest
-from tidewright.llm.langid import LangParams, detect, evidence, label_cases, label_language, train
+from tidewright.llm.langid import LangParams, detect, evidence, label_cases, label_language, sample, train
 
 LANGS = [("de", "German"), ("en", "English"), ("es", "Spanish"), ("ja", "Japanese")]
 TEXT = {
@@ -87,6 +87,43 @@ def test_nothing_to_learn_from(spark):
     assert detect(df.limit(0), LANGS).count() == 0
 
 
+FINNISH = "tämä taulukko sisältää paljon rivejä ja sarakkeita, jotka täytyy järjestää ennen kuin kuvaaja voidaan piirtää näytteestä"
+
+
+def test_other_languages_are_rejected_whatever_the_label(spark):
+    labels = ["en", "de", "es", "ja", None, "fi"]
+    rows = corpus() + [document(2000 + i, label, [("text", FINNISH)]) for i, label in enumerate(labels)] + [document(2100 + i, label, [("text", "123"), ("text", "")]) for i, label in enumerate(labels)]
+    rows += [document(2200, "de", [("text", FINNISH), ("text", TEXT["en"][0] + " " + TEXT["en"][1])])]
+    who = train(sample(spark.createDataFrame(corpus(), SCHEMA), LANGS, LangParams()), [c for c, _ in LANGS])
+    out = detect(spark.createDataFrame(rows, SCHEMA), LANGS, who=who)
+    got = {r.doc_id: r for r in out.collect()}
+    for i in range(len(labels)):
+        assert got[2000 + i].main is None and [(c.lang, c.reason) for c in got[2000 + i].cells] == [(None, "unlike")]
+        assert got[2100 + i].main is None and {c.reason for c in got[2100 + i].cells} == {"no evidence"}
+    assert got[2200].main == "en" and [c.lang for c in got[2200].cells] == [None, "en"]
+    assert {(r.doc_id, r.cell_no, r.lang) for r in label_cases(out).filter("doc_id >= 2000").collect()} == {(2200, -1, "en")}
+
+
+def test_the_label_takes_no_part_in_the_language(spark):
+    found = []
+    for shift in range(3):
+        rows = corpus() + [document(3000 + i, list(TEXT)[(i + shift) % 4], [("text", w)]) for i, w in enumerate(["plot", "tabla", "Total", "die", "la", "sort", "data", "Preis"])]
+        df = spark.createDataFrame(rows, SCHEMA)
+        who = train([(list(c for c, _ in LANGS).index(lang), evidence(". ".join(TEXT[lang][:k]))) for lang in TEXT for k in (1, 2, 3, 4) for _ in range(5)], [c for c, _ in LANGS])
+        found.append({r.doc_id: (r.main, r.confidence, [tuple(c) for c in r.cells]) for r in detect(df, LANGS, who=who).filter("doc_id >= 3000").collect()})
+    assert found[0] == found[1] == found[2] and len(found[0]) == 8
+
+
+def test_whole_documents_and_long_cells_count():
+    code = [c for c, _ in LANGS]
+    # the words that tell the language come after many characters
+    cells = [(code.index(lang), evidence("123 " * 3000 + TEXT[lang][i])) for lang in TEXT for i in range(4) for _ in range(8)]
+    who = train(cells, code)
+    total, size = who.scorer.cells([evidence(" ".join(TEXT["de"])), evidence(" ".join(TEXT["de"] * 50))])
+    p = who.posterior(total, size)
+    assert p.argmax(axis=1).tolist() == [code.index("de")] * 2 and p[1].max() >= p[0].max() > 0.9
+
+
 # ---- digests
 
 

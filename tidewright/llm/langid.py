@@ -2,20 +2,23 @@
 
 Method: one interpolated Kneser-Ney model of characters per language, of order ``order``, over words with a blank on either
 side.  N-grams are 64-bit hashes in sorted arrays shared by the languages, with one column of discounted probabilities and of back-off
-weights per language; a cell takes the language of the lowest cross-entropy per character.  Temperature and rejection
-threshold are calibrated on held-out cells.  As a cell's score is the sum of its words' scores, each distinct word is scored once per
-worker.
+weights per language; a cell takes the language of the lowest cross-entropy per character.  As a cell's score is the sum of its words' scores,
+each distinct word is scored once per worker.  What a cell's length is worth as evidence, the temperature and the limit of rejection are
+calibrated on cells held out before any model is fitted.
 
-Training takes a bounded sample of labelled documents (``LangParams.docs_per_language``, ``chars_per_doc``), the first by a
-hash of doc_id; labels may be wrong, so cells that a first model gives to another language are left out of the second.
-Everything else covers all documents, whole cells and all words.
+Training takes a bounded sample of labelled documents (``LangParams.docs_per_language``, whole documents), the first by a
+hash of doc_id; labels may be wrong, so cells that a model of the other half of the sample gives to another language are left out.
+Everything else covers all documents, whole cells and all words.  The label of a document takes no part in its language.
 
 Defined results
 * Only cells of type ``text`` count; a document without one gives no row.  Null texts have none.
 * Code, formulas, links, markup, digits and short quoted phrases are no evidence, unless nothing else is there.
-* A cell without evidence, rejected (its cross-entropy is unlike any language) or undecided between languages takes the document's
-  language if that is among the likely ones, else that of the label, else the most likely.
-* The main language is the one with most characters over the text cells; of equals the one first in the list of languages.
+* A cell whose cross-entropy is unlike that of any language is rejected: its language is null, its reason ``unlike``.
+* A cell in which several languages are about equally likely (reason ``undecided``) takes the document's language if that is among them, else the most likely.
+* A cell without words (reason ``no evidence``) takes the document's language.
+* The main language is the one with most characters over the decided text cells; of equals the one first in the list of languages.  Without a decided
+  cell it is the most likely one over the undecided cells together, and without those null.
+* ``plausible`` are the languages that a document's evidence leaves open: the main one, or those that are about equally likely where no cell is decided.
 * A cell's body ends where the text ends, however long it is said to be; null positions give an empty body.
 """
 
@@ -44,14 +47,16 @@ ISO_639_2 = {
 
 
 SMALL = 4 << 20
+LEAST_HELD = 8  #: held-out cells of a language below which the spread of all languages stands for its own
 
 
 @dataclass(frozen=True)
 class LangParams:
     order: int = 5  #: longest n-gram
-    docs_per_language: int = 200  #: labelled documents in the training sample
-    chars_per_doc: int = 4000  #: characters of text cells taken from each of them
+    docs_per_language: int = 200  #: labelled documents in the training sample, whole
     held_out: int = 5  #: every so many-th cell of the sample calibrates
+    false_reject: float = 0.001  #: share of held-out cells that lie farther from the usual cross-entropy than the limit of rejection before its margin
+    margin: float = 2.0  #: factor of that limit: cells that quote another language lie farther out than pure ones
     undecided: float = 2.5  #: nats of a whole cell within which languages count as equally likely
     seed: int = 7
 
@@ -183,7 +188,7 @@ class Model:
 
     def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log-probabilities (words x languages) and the numbers of characters predicted."""
-        hashes, pos, word = _grams(words, self.order)
+        hashes, pos, _ = _grams(words, self.order)
         p = np.full((len(pos), self.n_languages), self.floor, dtype=np.float32)
         for n in range(1, self.order + 1):
             at = np.flatnonzero(pos >= max(n - 1, 1))
@@ -202,11 +207,8 @@ class Model:
             q[seen] += disc[j[seen]]
             p[at] = q
         logs = np.where((pos >= 1)[:, None], np.log(p), 0.0)
-        out = np.zeros((len(words), self.n_languages))
-        np.add.at(out, word, logs) if len(words) < 8 else None
-        if len(words) >= 8:
-            begin = np.flatnonzero(pos == 0)
-            out = np.add.reduceat(logs, begin, axis=0)
+        begin = np.flatnonzero(pos == 0)
+        out = np.add.reduceat(logs, begin, axis=0) if len(begin) else np.zeros((0, self.n_languages))
         return out, np.array([len(w) + 1 for w in words], dtype=np.int64)
 
 
@@ -252,24 +254,37 @@ class Identifier:
 
     languages: list[str]
     scorer: Scorer | None
-    temperature: float
-    most_entropy: float
-    prior: int
+    temperature: float = 1.0
+    power: float = 1.0  #: a cell of n characters counts as n ** power independent ones
+    usual: np.ndarray | None = None  #: per language the median cross-entropy of its cells, and a and b of its variance a + b / n
+    most: float = np.inf  #: distance from the median, in standard deviations, beyond which a cell is rejected
 
     def posterior(self, total: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Probabilities of the languages from length-normalised cross-entropies; long cells count as 40 characters."""
-        scaled = total / np.maximum(size, 1)[:, None] * np.minimum(size, 40)[:, None] / self.temperature
+        """Probabilities of the languages from length-normalised cross-entropies."""
+        n = np.maximum(size, 1).astype(np.float64)
+        scaled = total * (n ** (self.power - 1) / self.temperature)[:, None]
         scaled -= scaled.max(axis=1, keepdims=True)
         e = np.exp(scaled)
         return e / e.sum(axis=1, keepdims=True)
 
+    def distance(self, total: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """How much higher the lowest cross-entropy is than usual for a cell of its language and length, in standard deviations."""
+        if self.usual is None:
+            return np.zeros(len(total))
+        n = np.maximum(size, 1)
+        middle, a, b = self.usual[total.argmax(axis=1)].T
+        return (-total.max(axis=1) / n - middle) / np.sqrt(a + b / n)
 
-def train(cells: list[tuple[int, list[str]]], languages: list[str], params: LangParams = LangParams()) -> Identifier:
-    """Identifier from labelled cells (language number, words)."""
 
-    def fit(chosen: list[tuple[int, list[str]]]) -> Model:
+Cell = tuple[int, list[str], int]
+
+
+def train(cells: list[Cell] | list[tuple[int, list[str]]], languages: list[str], params: LangParams = LangParams()) -> Identifier:
+    """Identifier from labelled cells (language number, words and number of the document; without it each cell is a document)."""
+
+    def fit(chosen: list[Cell]) -> Model:
         counts = [Counter() for _ in languages]
-        for lang, words in chosen:
+        for lang, words, _ in chosen:
             counts[lang].update(words)
         for c in counts:
             for w, k in list(c.items()):
@@ -277,25 +292,53 @@ def train(cells: list[tuple[int, list[str]]], languages: list[str], params: Lang
                     c[bare] += max(1, k // 2)
         return Model(counts, params.order)
 
-    used = [x for x in cells if x[1]]
-    prior = Counter(x[0] for x in used).most_common(1)[0][0] if used else 0
+    def agreeing(model: Model, chosen: list[Cell]) -> list[Cell]:
+        if not chosen:
+            return chosen
+        total, _ = Scorer(model).cells([x[1] for x in chosen])
+        own = total[np.arange(len(chosen)), [x[0] for x in chosen]]
+        return [x for x, best, mine in zip(chosen, total.max(axis=1), own) if best - mine < params.undecided]
+
+    used: list[Cell] = [(x[0], x[1], x[2] if len(x) > 2 else i) for i, x in enumerate(cells) if x[1]]
     if not used:
-        return Identifier(languages, None, 1.0, np.inf, prior)
-    total, size = Scorer(fit(used)).cells([w for _, w in used])
-    own = total[np.arange(len(used)), [x[0] for x in used]]
-    kept = [x for x, best, mine in zip(used, total.max(axis=1), own) if best - mine < params.undecided]
-    held, rest = kept[:: params.held_out], [x for i, x in enumerate(kept) if i % params.held_out]
-    total, size = Scorer(fit(rest or kept)).cells([w for _, w in held])
+        return Identifier(languages, None)
+    # documents are held out before any model has seen them; their labels may be wrong as well, which the loss allows for
+    turn = {d: i for i, d in enumerate(dict.fromkeys(x[2] for x in used))}
+    held, rest = [x for x in used if turn[x[2]] % params.held_out == 0], [x for x in used if turn[x[2]] % params.held_out]
+    rest = rest or used
+    # each half is judged by a model of the other, so that no wrong label speaks for itself
+    halves = [[x for x in rest if turn[x[2]] // params.held_out % 2 == k] for k in (0, 1)]
+    kept = [x for k in (0, 1) for x in (agreeing(fit(halves[1 - k]), halves[k]) if halves[1 - k] else halves[k])] or rest
+    model = fit(kept)
+    total, size = Scorer(model).cells([x[1] for x in held])
     truth = np.array([x[0] for x in held])
-    each = -total[np.arange(len(held)), truth] / np.maximum(size, 1)
-    out = Identifier(languages, Scorer(fit(kept)), 1.0, float(np.quantile(each, 0.995)) + 1.0, prior)
+    wrong = float(np.mean(total.max(axis=1) - total[np.arange(len(held)), truth] >= params.undecided))
+    noise = min(0.5, wrong + 0.005)
     best = np.inf
-    for t in (0.5, 0.7, 1, 1.5, 2, 3, 5, 8):
-        out_t = Identifier(languages, None, t, 0.0, prior)
-        p = out_t.posterior(total, size)[np.arange(len(held)), truth]
-        loss = -np.mean(np.log(0.98 * p + 0.02 / len(languages)))
-        if loss < best:
-            best, out.temperature = loss, t
+    out = Identifier(languages, None)
+    for power in (0.5, 0.6, 0.7, 0.8, 0.9, 1.0):
+        for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0, 5.6, 8.0):
+            p = Identifier(languages, None, t, power).posterior(total, size)[np.arange(len(held)), truth]
+            loss = -np.mean(np.log((1 - noise) * p + noise / len(languages)))
+            if loss < best - 1e-9:
+                best, out.temperature, out.power = loss, t, power
+    # rejection looks at the lowest cross-entropy alone, whatever the label says
+    each, n = -total.max(axis=1) / np.maximum(size, 1), np.maximum(size, 1).astype(np.float64)
+
+    def spread(each: np.ndarray, n: np.ndarray) -> tuple[float, float, float]:
+        middle = float(np.median(each))
+        square = (each - middle) ** 2
+        x = np.stack([np.ones_like(n), 1 / n], axis=1)
+        a, b = np.linalg.lstsq(x, square, rcond=None)[0]
+        if a <= 0 or b <= 0:  # one of the two explains the spread alone
+            a, b = (0.0, float(square @ x[:, 1] / (x[:, 1] @ x[:, 1]))) if a <= 0 else (float(square.mean()), 0.0)
+        return middle, max(float(a), 0.01), max(float(b), 0.0)
+
+    own = total.argmax(axis=1)
+    pooled = spread(each, n)
+    out.usual = np.array([spread(each[own == g], n[own == g]) if np.count_nonzero(own == g) >= LEAST_HELD else pooled for g in range(len(languages))])
+    out.most = params.margin * max(float(np.quantile(out.distance(total, size), 1 - params.false_reject)), 3.5)
+    out.scorer = Scorer(fit(kept + agreeing(model, held)))
     return out
 
 
@@ -312,7 +355,7 @@ def _bodies(text: str | None, cells: list[dict] | None) -> list[tuple[int, str,
     return out
 
 
-def sample(docs: DataFrame, languages: list[tuple[str, str]], params: LangParams) -> list[tuple[int, list[str]]]:
+def sample(docs: DataFrame, languages: list[tuple[str, str]], params: LangParams) -> list[Cell]:
     """Labelled cells for training, of at most docs_per_language documents a language."""
     codes = [c for c, _ in languages]
     labelled = docs.select("doc_id", label_language(F.col("lang"), languages).alias("_label")).filter(F.col("_label").isNotNull())
@@ -325,64 +368,75 @@ def sample(docs: DataFrame, languages: list[tuple[str, str]], params: LangParams
         for batch in batches:
             label, doc, body = [], [], []
             for d, lang, text, cells in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "_label", "text", "cells"))):
-                left = params.chars_per_doc
                 for _, b, _ in _bodies(text, cells):
-                    if b and left > 0:
-                        label.append(lang), doc.append(d), body.append(b[:left])
-                        left -= len(b)
+                    if b:
+                        label.append(lang), doc.append(d), body.append(b)
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "label": pa.array(label, pa.string()), "body": pa.array(body, pa.string())})
 
     got = rows.mapInArrow(run, "doc_id bigint, label string, body string").toArrow().to_pylist()
     got.sort(key=lambda x: (x["doc_id"] is None, x["doc_id"] or 0, x["body"]))
-    return [(codes.index(x["label"]), evidence(x["body"])) for x in got]
+    return [(codes.index(x["label"]), evidence(x["body"]), x["doc_id"]) for x in got]
+
 
+NO_EVIDENCE, UNLIKE, UNDECIDED = "no evidence", "unlike", "undecided"
 
-def judge(who: Identifier, bodies: list[list[tuple[int, str, int]]], labels: list[str | None], undecided: float) -> list[tuple[int, float, list[tuple[int, int, float, int]]]]:
-    """For each document its language number, confidence and cells (cell_no, language number, confidence, characters)."""
+
+def judge(who: Identifier, bodies: list[list[tuple[int, str, int]]], undecided: float) -> list[tuple[int | None, float, list[int], list[tuple]]]:
+    """For each document its language number or None, confidence, plausible languages and cells (cell_no, language number or None, confidence, characters, reason)."""
     flat = [evidence(b) for doc in bodies for _, b, _ in doc]
-    if who.scorer is None:
-        total, size = np.zeros((len(flat), len(who.languages))), np.zeros(len(flat), np.int64)
+    k_all = len(who.languages)
+    if who.scorer is None or not flat:
+        total, size = np.zeros((len(flat), k_all)), np.zeros(len(flat), np.int64)
     else:
         total, size = who.scorer.cells(flat)
-    post = who.posterior(total, size) if len(flat) else np.zeros((0, len(who.languages)))
-    top = total.argmax(axis=1) if len(flat) else np.zeros(0, np.int64)
-    lead = total.max(axis=1) if len(flat) else np.zeros(0)
-    unlike = (size == 0) | (-lead / np.maximum(size, 1) > who.most_entropy)
-    likely = (total >= lead[:, None] - undecided) | unlike[:, None]
-    sure = likely.sum(axis=1) == 1
+    post = who.posterior(total, size) if len(flat) else total
+    empty = size == 0
+    unlike = ~empty & (who.distance(total, size) > who.most) if len(flat) else empty
+    top, lead = (total.argmax(axis=1), total.max(axis=1)) if len(flat) else (size, size.astype(float))
+    likely = total >= lead[:, None] - undecided
+    open_ = ~empty & ~unlike
+    sure = open_ & (likely.sum(axis=1) == 1)
     out, at = [], 0
-    number = {c: i for i, c in enumerate(who.languages)}
-    for doc, label in zip(bodies, labels):
-        k = len(doc)
-        rows = slice(at, at + k)
-        weights = np.zeros(len(who.languages))
+    for doc in bodies:
+        rows = slice(at, at + len(doc))
+        at += len(doc)
         chars = np.array([c for _, _, c in doc], dtype=np.float64)
-        s = sure[rows]
-        np.add.at(weights, top[rows][s], chars[s])
-        named = number.get(label) if label else None
-        if weights.any():
-            lean = int(weights.argmax())
+        s, o, tops = sure[rows], open_[rows], top[rows]
+        weights = np.bincount(tops[s], weights=chars[s], minlength=k_all)
+        if s.any():
+            lean: int | None = int(weights.argmax())
+        elif o.any():
+            together = total[rows][o].sum(axis=0)
+            lean = int(together.argmax())
         else:
-            # nothing is decided: languages that are likely in most characters, the label among equals
-            support = (likely[rows] * np.maximum(chars, 1)[:, None]).sum(axis=0)
-            open_ = np.flatnonzero(support >= support.max() - 1e-9)
-            lean = named if named is not None and named in open_ else int(open_[np.argmax(total[rows].sum(axis=0)[open_])]) if (size[rows] > 0).any() else who.prior
-        lang = np.where(s, top[rows], lean)
-        for i in np.flatnonzero(~s):
-            if not likely[at + i][lean]:
-                lang[i] = named if named is not None and likely[at + i][named] else top[at + i]
-        weights[:] = 0
-        np.add.at(weights, lang, chars)
+            lean = None
+        cells: list[tuple] = []
+        for i, (no, _, n) in enumerate(doc):
+            row = rows.start + i
+            if unlike[row]:
+                cells.append((no, None, float(post[row].max()), n, UNLIKE))
+            elif empty[row]:
+                cells.append((no, lean, 1.0 / k_all, n, NO_EVIDENCE))
+            else:
+                g = int(tops[i]) if s[i] or not likely[row][lean] else lean
+                cells.append((no, g, float(post[row][g]), n, None if s[i] else UNDECIDED))
+        weights = np.bincount([c[1] for c in cells if c[1] is not None], weights=[c[3] for c in cells if c[1] is not None], minlength=k_all)
         main = int(weights.argmax()) if weights.any() else lean
-        conf = post[np.arange(at, at + k), lang]
-        share = float((conf * np.maximum(chars, 1) * (lang == main)).sum() / np.maximum(chars, 1).sum())
-        out.append((main, share, [(no, int(g), float(p), n) for (no, _, n), g, p in zip(doc, lang, conf)]))
-        at += k
+        if main is None:
+            out.append((None, 0.0, [], cells))
+            continue
+        plausible = [main] if s.any() else np.flatnonzero(together >= together[main] - undecided).tolist()
+        share = sum(c[2] * max(c[3], 1) for c in cells if c[1] == main) / sum(max(c[3], 1) for c in cells)
+        out.append((main, share, plausible, cells))
     return out
 
 
+CELL = "struct<cell_no:int,lang:string,confidence:double,chars:int,reason:string>"
+
+
 def detect(docs: DataFrame, languages: list[tuple[str, str]], params: LangParams = LangParams(), who: Identifier | None = None) -> DataFrame:
-    """doc_id, label (language that ``lang`` names, or null), main, confidence, cells (cell_no, lang, confidence, chars), one row per document with a text cell.
+    """doc_id, label (language that ``lang`` names, or null), main, confidence, plausible, cells (cell_no, lang, confidence, chars, reason), one row
+    per document with a text cell.
 
     docs: doc_id, text, lang, cells.  languages: (code, name) of all languages.  The models are trained on the driver from the bounded
     sample, and broadcast; their size is bounded by the sample's.  Scoring is a map over documents, without any shuffle but for inputs
@@ -391,35 +445,37 @@ def detect(docs: DataFrame, languages: list[tuple[str, str]], params: LangParams
     spark = docs.sparkSession
     who = who or train(sample(docs, languages, params), [c for c, _ in languages], params)
     shared = spark.sparkContext.broadcast(who)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
     undecided = params.undecided
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         who = shared.value
-        cell = pa.struct([("cell_no", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("chars", pa.int32())])
+        cell = pa.struct([("cell_no", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("chars", pa.int32()), ("reason", pa.string())])
+        name = lambda g: None if g is None else who.languages[g]
         for whole in batches:
             for a in range(0, whole.num_rows, 512):
                 batch = whole.slice(a, 512)
                 bodies = [_bodies(t, c) for t, c in zip(batch.column("text").to_pylist(), batch.column("cells").to_pylist())]
                 has = [i for i, b in enumerate(bodies) if b]
-                labels = batch.column("label").to_pylist()
-                found = judge(who, [bodies[i] for i in has], [labels[i] for i in has], undecided)
-                names = who.languages
+                found = judge(who, [bodies[i] for i in has], undecided)
+                at = pa.array(has, pa.int64())
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column("doc_id").take(pa.array(has, pa.int64())), "label": pa.array([labels[i] for i in has], pa.string()),
-                    "main": pa.array([names[m] for m, _, _ in found], pa.string()), "confidence": pa.array([p for _, p, _ in found], pa.float64()),
-                    "cells": pa.array([[{"cell_no": no, "lang": names[g], "confidence": p, "chars": n} for no, g, p, n in cells] for _, _, cells in found], pa.list_(cell)),
+                    "doc_id": batch.column("doc_id").take(at), "label": batch.column("label").take(at),
+                    "main": pa.array([name(m) for m, *_ in found], pa.string()), "confidence": pa.array([p for _, p, *_ in found], pa.float64()),
+                    "plausible": pa.array([[name(g) for g in some] for _, _, some, _ in found], pa.list_(pa.string())),
+                    "cells": pa.array([[{"cell_no": no, "lang": name(g), "confidence": p, "chars": n, "reason": why} for no, g, p, n, why in cells] for *_, cells in found], pa.list_(cell)),
                 })
 
     rows = docs.select("doc_id", label_language(F.col("lang"), languages).alias("label"), "text", "cells")
     cores = spark.sparkContext.defaultParallelism
     if (known := file_bytes(docs)) and known < SMALL * cores:  # one small file would be one task
         rows = rows.repartition(cores)
-    return rows.mapInArrow(run, "doc_id bigint, label string, main string, confidence double, cells array<struct<cell_no:int,lang:string,confidence:double,chars:int>>")
+    return rows.mapInArrow(run, f"doc_id bigint, label string, main string, confidence double, plausible array<string>, cells array<{CELL}>")
 
 
 def label_cases(found: DataFrame) -> DataFrame:
-    """doc_id, cell_no, lang: -1 and the main language where the label is missing or wrong, and the cells in another language."""
-    wrong = found.filter(F.col("label").isNull() | (F.col("label") != F.col("main"))).select("doc_id", F.lit(-1).alias("cell_no"), F.col("main").alias("lang"))
+    """doc_id, cell_no, lang: -1 and the main language where the label is missing, or is none of those that the evidence leaves open, and the
+    cells in another language.  Rejected cells and documents without a language are no cases."""
+    odd = F.col("main").isNotNull() & (F.col("label").isNull() | ~F.array_contains("plausible", F.col("label")))
+    wrong = found.filter(odd).select("doc_id", F.lit(-1).alias("cell_no"), F.col("main").alias("lang"))
     cells = found.select("doc_id", "main", F.explode("cells").alias("c")).filter(F.col("c.lang") != F.col("main")).select("doc_id", "c.cell_no", "c.lang")
     return wrong.unionByName(cells)

@@ -79,14 +79,15 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Main language and confidence of each document, beside what its label names."""
-    return _detected(spark, d).select("doc_id", "label", "main", F.round("confidence", 4).alias("confidence"), F.size("cells").alias("n_cells"))
+    """Main language (null: rejected) and confidence of each document, beside what its label names."""
+    rejected = F.size(F.filter("cells", lambda c: c["lang"].isNull()))
+    return _detected(spark, d).select("doc_id", "label", "main", F.round("confidence", 4).alias("confidence"), F.size("cells").alias("n_cells"), rejected.alias("n_rejected"))
 
 
 def p8_segments(spark: SparkSession, d: str) -> DataFrame:
     """Language and confidence of each text cell."""
     cells = _detected(spark, d).select("doc_id", F.explode("cells").alias("c"))
-    return cells.select("doc_id", "c.cell_no", "c.lang", F.round("c.confidence", 4).alias("confidence"), "c.chars")
+    return cells.select("doc_id", "c.cell_no", "c.lang", F.round("c.confidence", 4).alias("confidence"), "c.chars", "c.reason")
 
 
 QUERIES = {"p5_percentiles": p5_percentiles, "p5_certified": p5_certified, "p5_load_summaries": p5_load_summaries, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_containers": p7_containers, "p7_summary": p7_summary, "p8_found": p8_found, "p8_documents": p8_documents, "p8_segments": p8_segments}
