@@ -115,3 +115,40 @@ def test_containers_hold_every_token_once(spark):
                 want += [(i, 0, s)] if s <= cap else [(i, a, min(cap, s - a)) for a in range(0, s, cap)]
         assert sorted(pieces) == sorted(want)
     assert pack(items.limit(0), specs, 0).count() == 0 and pack(items, specs.limit(0), 9).count() == 0
+
+
+def test_best_fit_is_never_beaten_and_ties_go_to_differencing():
+    from tidewright.llm.pack import _best_fit, raised
+
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        sizes = np.minimum(rng.lognormal(6, 1, 600).astype(int) + 1, 2048)
+        alone = _best_fit([], [], list(range(len(sizes))), sizes, 2048)
+        windows, pure = fill(sizes, 2048), raised(sizes, 2048)
+        assert len(windows) <= len(alone)
+        assert sorted(i for w in pure for i in w) == list(range(600)) and max(int(sizes[w].sum()) for w in pure) <= 2048
+    assert fill(np.zeros(0, int), 512) == [] and raised(np.zeros(0, int), 512) == []
+
+
+def test_equal_rows_do_not_meet_in_one_bucket(spark):
+    items = spark.createDataFrame([(None, 300)] * 3000 + [(i, 100) for i in range(50)], "doc_id bigint, size bigint")
+    specs = spark.createDataFrame([("s", 512)], "spec_name string, capacity_tokens int")
+    out = pack(items, specs, 3050, PackParams(bucket_docs=256)).collect()
+    assert sum(r.n_docs for r in out) == 3050 and sum(r.used_tokens for r in out) == 3000 * 300 + 5000 and max(r.used_tokens for r in out) <= 512
+    buckets = [r.container_id >> 32 for r in out]
+    assert len(set(buckets)) > 4 and max(buckets.count(b) for b in set(buckets)) < 1500
+
+
+def test_blocks_do_not_follow_ids_and_exchanges_are_shared(spark, reference, tmp_path):
+    from tidewright.llm.encode import with_blocks
+
+    spark.createDataFrame([(None if i % 2 else 7, f"word{i} again and again") for i in range(4000)], "doc_id bigint, text string").write.parquet(str(tmp_path / "d"))
+    df = spark.read.parquet(str(tmp_path / "d"))
+    blocks, _ = with_blocks(df, 2000)
+    sizes = [r["count"] for r in blocks.groupBy("block").count().collect()]
+    assert len(sizes) > 5 and max(sizes) < 3 * sum(sizes) / len(sizes)
+    out = encode(df)
+    assert sorted(tuple(r.ids) for r in out.collect()) == sorted(tuple(reference(f"word{i} again and again")) for i in range(4000))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
+

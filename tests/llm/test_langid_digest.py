@@ -171,3 +171,13 @@ def test_empty_digests(spark):
     df = rows(spark)
     assert digest.digests(df.limit(0), ["g"], "v").count() == 0
     assert digest.digests(df.filter("g = 'e'"), ["g"], "v").count() == 0
+
+
+def test_groups_over_the_bound_are_summarised_again(spark, monkeypatch):
+    df = rows(spark)
+    coarse = digest.merge(digest.digests(df, ["g"], "v", 6), ["g"], 6)
+    first = {(r.g, r.p): r for r in digest.certify(df, ["g"], "v", digest.percentiles(coarse, ["g"], PROBS), PROBS).collect()}
+    assert any(r.rank_error * r.n > max(digest.RANK_BOUND * r.n, 1) for r in first.values())
+    out = {(r.g, r.p): r for r in digest.certified(df, ["g"], "v", coarse, PROBS).collect()}
+    assert out.keys() == first.keys() and all(r.rank_error * r.n <= max(digest.RANK_BOUND * r.n, 1) for r in out.values())
+    assert digest.certified(df.limit(0), ["g"], "v", coarse.limit(0), PROBS).count() == 0

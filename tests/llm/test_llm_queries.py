@@ -8,7 +8,7 @@ from tests_support import rows
 DIR = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["p5_certified"])
+@pytest.mark.parametrize("name", ["p5_certified", "p5_load_ranges", "p6_round_trip"])
 def test_sql(spark, duck, name):
     got, want = entry.queries()[name](spark, DIR).toArrow(), duck.sql(entry.oracle_sql()[name]).to_arrow_table()
     assert rows(got, sorted(want.column_names)) == rows(want, sorted(want.column_names))

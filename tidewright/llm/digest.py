@@ -16,14 +16,18 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.operators.settle import settle
+
 DELTA = 400  #: centroids grow with it; rank errors fall with it
 RANK_BOUND = 0.005  #: largest certified rank error, as a share of the rows
+FAN = 256  #: shares of a group's digests that are merged before the last step
 
 
 def cluster(means: np.ndarray, weights: np.ndarray, delta: int = DELTA) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +70,6 @@ def digests(df: DataFrame, groups: list[str], value: str, delta: int = DELTA) ->
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}  # key -> [raw arrays, raw count, means, weights, n, least, most]
-        size = 0
         types = None
 
         def settle(x: list) -> None:
@@ -112,7 +115,6 @@ def digests(df: DataFrame, groups: list[str], value: str, delta: int = DELTA) ->
                 x[5], x[6] = min(x[5], float(part.min())), max(x[6], float(part.max()))
                 if x[1] > 20 * delta:
                     settle(x)
-            size += 1
             if len(held) > 20_000:  # many groups: hand over what there is
                 yield from out()
                 held.clear()
@@ -123,7 +125,10 @@ def digests(df: DataFrame, groups: list[str], value: str, delta: int = DELTA) ->
 
 
 def merge(parts: DataFrame, groups: list[str], delta: int = DELTA) -> DataFrame:
-    """Digests with equal groups combined; columns as of :func:`digests`."""
+    """Digests with equal groups combined; columns as of :func:`digests`.
+
+    In two steps, so that no task meets all digests of a hot group: first those of a share of 1 / FAN, by a hash of the digest itself.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in parts.schema.fields}
     schema = SCHEMA.format(groups=", ".join(f"`{g}` {kinds[g]}" for g in groups))
 
@@ -135,7 +140,9 @@ def merge(parts: DataFrame, groups: list[str], delta: int = DELTA) -> DataFrame:
         out |= {"means": pa.array([m], pa.list_(pa.float64())), "weights": pa.array([w], pa.list_(pa.float64()))}
         return pa.table(out)
 
-    return parts.groupBy(*groups).applyInArrow(run, schema)
+    own = [*groups, "n", "least", "most", "means", "weights"]
+    shares = parts.select(*own, F.pmod(F.xxhash64("n", "least", "most", F.hash("means")), F.lit(FAN)).alias("_share"))
+    return shares.groupBy(*groups, "_share").applyInArrow(run, schema).groupBy(*groups).applyInArrow(run, schema)
 
 
 def percentiles(summaries: DataFrame, groups: list[str], probs: list[float]) -> DataFrame:
@@ -168,3 +175,22 @@ def certify(df: DataFrame, groups: list[str], value: str, estimates: DataFrame,
     want = F.col("p") * F.col("n")
     off = F.greatest(F.col("below") - want, want - F.col("upto"), F.lit(0.0))
     return out.withColumn("rank_error", off / F.col("n"))
+
+
+def certified(df: DataFrame, groups: list[str], value: str, summaries: DataFrame, probs: list[float], bound: float = RANK_BOUND, tries: int = 3) -> DataFrame:
+    """As :func:`certify` of the percentiles of ``summaries`` (digests per group).  Groups with an error over ``bound`` (and over one row) are summarised
+    again from their values with four times as many centroids, up to ``tries`` times.  Runs a job for each try."""
+    over = F.col("rank_error") * F.col("n") > F.greatest(bound * F.col("n"), F.lit(1.0))
+    key = F.struct(*groups)
+    values, delta, parts = df, DELTA, []
+    for left in range(tries, -1, -1):
+        got = settle(certify(values, groups, value, percentiles(summaries, groups, probs), probs), "percentiles")
+        bad = got.filter(over).select(key.alias("_k")).distinct()
+        if not left or bad.isEmpty():
+            parts.append(got)
+            break
+        parts.append(got.withColumn("_k", key).join(bad, "_k", "left_anti").drop("_k"))
+        delta *= 4
+        values = values.withColumn("_k", key).join(bad, "_k", "left_semi").drop("_k")
+        summaries = digests(values, groups, value, delta)
+    return reduce(DataFrame.unionByName, parts)

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from tidewright.llm.words import split
 
 CHUNK = 4 << 20  #: bytes of text that are split at a time
+TASK_BYTES = 8 << 20  #: bytes of input behind one task of a shuffle
+MOST_TASKS = 200_000
 
 
 def default_vocabulary() -> str:
@@ -61,14 +63,17 @@ def file_bytes(df: DataFrame) -> int | None:
     return n if n < 1 << 60 else None
 
 
-def with_blocks(docs: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
-    """doc_id, text, block: documents by hash in blocks of about ``block_bytes`` of input; bounds what one task holds."""
+def with_blocks(docs: DataFrame, block_bytes: int = 4 << 20) -> tuple[DataFrame, int]:
+    """doc_id, text, block: documents in blocks of about ``block_bytes`` of input, which bounds what one task holds; and the number of tasks.
+
+    Blocks go by a hash of id and text, so that null, repeated or hot ids do not pile up in one; only rows equal in both share a block.
+    """
     spark = docs.sparkSession
-    known = file_bytes(docs)
-    n = max(1, -(-known // block_bytes)) if known else 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))  # long texts: batches are bounded by bytes too
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(n)) if n > 1 else F.lit(0).cast("bigint")
-    return docs.select("doc_id", "text", block.alias("block")).repartition("block")
+    known, least = file_bytes(docs), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, -(-known // block_bytes)) if known else 8 * least
+    tasks = max(least, min(-(-known // TASK_BYTES), MOST_TASKS)) if known else 8 * least
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))
+    return docs.select("doc_id", "text", block.alias("block")).repartition(tasks, "block"), tasks
 
 
 def _pieces_of(texts: pa.Array) -> Iterator[pa.Array]:
@@ -118,7 +123,7 @@ def block_words(blocks: DataFrame) -> DataFrame:
     return blocks.sortWithinPartitions("block").mapInArrow(run, "block bigint, word string")
 
 
-def word_ids(pairs: DataFrame, vocabulary: str, counts: bool = False) -> DataFrame:
+def word_ids(pairs: DataFrame, vocabulary: str, tasks: int, counts: bool = False) -> DataFrame:
     """block, word, ids (int32 as bytes; with ``counts`` their number): each distinct word encoded once.
 
     The pairs are hashed and sorted by word.  The distinct words of a partition are its part of the word table, and the
@@ -140,7 +145,7 @@ def word_ids(pairs: DataFrame, vocabulary: str, counts: bool = False) -> DataFra
             values = pa.array([len(x) // 4 for x in lists], pa.int32()) if counts else pa.array(lists, pa.binary())
             yield pa.RecordBatch.from_pydict({"block": batch.column("block"), "word": batch.column("word"), "ids": values.take(coded.indices)})
 
-    return pairs.repartition("word").sortWithinPartitions("word").mapInArrow(run, f"block bigint, word string, ids {'int' if counts else 'binary'}")
+    return pairs.repartition(tasks, "word").sortWithinPartitions("word").mapInArrow(run, f"block bigint, word string, ids {'int' if counts else 'binary'}")
 
 
 def _lists(column: pa.ChunkedArray) -> pa.ListArray:
@@ -156,8 +161,10 @@ def _lists(column: pa.ChunkedArray) -> pa.ListArray:
 
 
 def _placed(docs: DataFrame, vocabulary: str | None, counts: bool) -> DataFrame:
-    blocks = with_blocks(docs)
-    known = word_ids(block_words(blocks), vocabulary or default_vocabulary(), counts)
+    """Ids, or their number, of each row, through the word table."""
+    vocabulary = vocabulary or default_vocabulary()
+    blocks, tasks = with_blocks(docs)
+    known = word_ids(block_words(blocks), vocabulary, tasks, counts)
 
     def place(texts: pa.Table, known: pa.Table) -> pa.Table:
         words = _as_string(known.column("word"))

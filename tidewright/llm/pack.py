@@ -4,12 +4,13 @@ Method: Karmarkar-Karp multiway differencing.  Every item starts as a partial pa
 partitions with the largest imbalance are merged so that the fullest windows of one meet the emptiest of the other,
 until one partition into k near-equal windows is left.  k starts at the least number of windows that could hold the items.
 Windows that end within the tolerance below the capacity are final; the items of the others, over the capacity or
-too empty, are differenced again among themselves.  After each round the remaining items are also placed by best fit,
-opening windows as needed, and the round with the fewest windows wins: plain raising of k until no window is over
-the capacity needs more windows (see the README).
+too empty, are differenced again among themselves, and the tolerance rises as rounds go by.  What a round leaves is placed by best fit, which opens
+windows where the capacity would be exceeded.  Of all rounds, and of best fit without any, the one with the fewest windows wins, of equals the
+latest, so that differencing never costs a window.  ``raised`` is differencing alone: k rises until no window is over the capacity (see the README
+for what it costs).
 
 Documents are packed in buckets of about ``bucket_docs`` by hash, so that no task sees the whole corpus; a bucket ends with
-at most one poorly filled window per capacity.
+at most one poorly filled window per capacity.  Equal rows are counted first and go in chunks of ``copies``, which are hashed each.
 
 Defined results
 * Size 0 or null is left out.  A document larger than the capacity is cut at multiples of the capacity; its full pieces have a
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_SPECS = 1000
+MOST_TASKS = 50_000
 
 
 @dataclass(frozen=True)
@@ -39,6 +41,7 @@ class PackParams:
     tolerance: float = 0.02  #: share of the capacity that a final window may lack
     widen: float = 1.2  #: growth of the tolerance after a round that settles under a tenth of the windows
     rounds: int = 6  #: of differencing
+    copies: int = 256  #: equal rows that stay together
 
 
 def difference(sizes: np.ndarray, k: int) -> tuple[np.ndarray, list[list[int]]]:
@@ -92,7 +95,7 @@ def fill(sizes: np.ndarray, capacity: int, params: PackParams = PackParams()) ->
     """Windows as lists of item positions; every size must be between 1 and the capacity."""
     rest = list(range(len(sizes)))
     done: list[list[int]] = []
-    best: list[list[int]] | None = None
+    best = _best_fit([], [], rest, sizes, capacity)
     tolerance = params.tolerance
     for _ in range(params.rounds):
         if not rest:
@@ -106,9 +109,21 @@ def fill(sizes: np.ndarray, capacity: int, params: PackParams = PackParams()) ->
         settled = {q for j in good for q in windows[j]}
         rest = [x for q, x in enumerate(rest) if q not in settled]
         now = _best_fit(done, [capacity - int(sizes[w].sum()) for w in done], rest, sizes, capacity)
-        if best is None or len(now) < len(best):
+        if len(now) <= len(best):
             best = now
-    return best or []
+    return best
+
+
+def raised(sizes: np.ndarray, capacity: int) -> list[list[int]]:
+    """Windows by differencing alone: the number of windows rises until none is over the capacity."""
+    if not len(sizes):
+        return []
+    k = max(1, -(-int(sizes.sum()) // capacity))
+    while True:
+        total, windows = difference(sizes, k)
+        if total[0] <= capacity:
+            return windows
+        k += 1
 
 
 def pack(items: DataFrame, specs: DataFrame, n_items: int, params: PackParams = PackParams()) -> DataFrame:
@@ -128,6 +143,7 @@ def pack(items: DataFrame, specs: DataFrame, n_items: int, params: PackParams =
     def run(t: pa.Table) -> pa.Table:
         bucket = t.column("bucket")[0].as_py() if t.num_rows else 0
         t = t.sort_by([("doc_id", "ascending"), ("size", "ascending")])
+        t = t.take(pa.array(np.repeat(np.arange(t.num_rows), t.column("n").to_numpy())))
         doc, size = t.column("doc_id").combine_chunks(), t.column("size").to_numpy()
         out = []
         for name, cap in wanted:
@@ -162,7 +178,10 @@ def pack(items: DataFrame, specs: DataFrame, n_items: int, params: PackParams =
         "n_docs": pa.array([], pa.int32()), "used_tokens": pa.array([], pa.int64()), "fill": pa.array([], pa.float64()),
     })
     sized = items.filter(F.col("size") > 0).select("doc_id", F.col("size").cast("bigint").alias("size"))
-    # rows are small and work per row is large: a fixed number of tasks, which adaptive execution doesn't join
-    tasks = min(buckets, 4 * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    laid = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets))).repartition(tasks, "bucket")
-    return laid.groupBy("bucket").applyInArrow(run, schema)
+    counted = sized.groupBy("doc_id", "size").agg(F.count(F.lit(1)).alias("c"))
+    chunks = counted.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("c") - 1) / params.copies).cast("int"))))
+    n = F.least(F.col("c") - F.col("chunk") * params.copies, F.lit(params.copies)).cast("int")
+    bucket = F.pmod(F.xxhash64("doc_id", "size", "chunk"), F.lit(buckets))
+    # rows are small and work per row is large: the number of tasks follows the buckets, and adaptive execution doesn't join them
+    tasks = min(buckets, max(4 * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(buckets // 16, MOST_TASKS)))
+    return chunks.select("doc_id", "size", n.alias("n"), bucket.alias("bucket")).repartition(tasks, "bucket").groupBy("bucket").applyInArrow(run, schema)

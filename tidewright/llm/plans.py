@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.llm.digest import RANK_BOUND, certify, digests, merge, percentiles
+from tidewright.llm.digest import RANK_BOUND, certified, digests, merge
 from tidewright.llm.encode import decode, encode, token_counts
 from tidewright.llm.langid import detect, label_cases
 from tidewright.llm.pack import pack
@@ -26,7 +26,7 @@ def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles per variant as written, from digests per load, with their certified rank errors."""
     values = _values(spark, d)
     summaries = merge(digests(values, ["universe_variant", "load_id", "column_name"], "value"), BY)
-    return certify(values, BY, "value", percentiles(summaries, BY, PROBS), PROBS)
+    return certified(values, BY, "value", summaries, PROBS)
 
 
 def p5_certified(spark: SparkSession, d: str) -> DataFrame:
@@ -39,17 +39,23 @@ def p5_load_summaries(spark: SparkSession, d: str) -> DataFrame:
     return digests(_values(spark, d), ["universe_variant", "load_id", "column_name"], "value")
 
 
+def p5_load_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """What the kept digests say exactly: rows, extremes, and whether the weights add up to the rows."""
+    total = F.aggregate("weights", F.lit(0.0), lambda a, w: a + w)
+    return p5_load_summaries(spark, d).select("universe_variant", "load_id", "column_name", "n", "least", "most", (total == F.col("n")).alias("whole"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents"))
 
 
 def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Each document's number of ids, and whether decoding them gives its text back."""
+    """Whether decoding each document's ids gives its text back, and the characters of what they give."""
     docs = table(spark, d, "documents")
-    back = decode(encode(docs)).select("doc_id", "n_ids", F.xxhash64("text").alias("_back"), F.length("text").alias("_length"))
+    back = decode(encode(docs)).select("doc_id", F.xxhash64("text").alias("_back"), F.length("text").alias("_length"))
     text = F.coalesce("text", F.lit(""))
     kept = docs.select("doc_id", F.xxhash64(text).alias("_text"), F.length(text).alias("_chars"))
-    return kept.join(back, "doc_id").select("doc_id", "n_ids", ((F.col("_back") == F.col("_text")) & (F.col("_length") == F.col("_chars"))).alias("same"))
+    return kept.join(back, "doc_id").select("doc_id", F.col("_length").cast("bigint").alias("n_chars"), ((F.col("_back") == F.col("_text")) & (F.col("_length") == F.col("_chars"))).alias("same"))
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -90,8 +96,12 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
     return cells.select("doc_id", "c.cell_no", "c.lang", F.round("c.confidence", 4).alias("confidence"), "c.chars", "c.reason")
 
 
-QUERIES = {"p5_percentiles": p5_percentiles, "p5_certified": p5_certified, "p5_load_summaries": p5_load_summaries, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_containers": p7_containers, "p7_summary": p7_summary, "p8_found": p8_found, "p8_documents": p8_documents, "p8_segments": p8_segments}
+QUERIES = {"p5_percentiles": p5_percentiles, "p5_certified": p5_certified, "p5_load_summaries": p5_load_summaries, "p5_load_ranges": p5_load_ranges, "p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_containers": p7_containers, "p7_summary": p7_summary, "p8_found": p8_found, "p8_documents": p8_documents, "p8_segments": p8_segments}
 SQL: dict[str, str] = {
+    "p5_load_ranges": """select universe_variant, load_id, column_name, count(*) as n, min(v) as least, max(v) as most, true as whole from (
+        select universe_variant, load_id, 'vol_contraction_ratio' as column_name, vol_contraction_ratio as v from m2_setups_with_features
+        union all select universe_variant, load_id, 'adr_pct', adr_pct from m2_setups_with_features) t where v is not null and isfinite(v) group by all""",
+    "p6_round_trip": "select doc_id, length(coalesce(text, '')) as n_chars, true as same from documents",
     "p5_certified": """select universe_variant, column_name, p, count(*) as n, true as within from (
         select universe_variant, 'vol_contraction_ratio' as column_name, vol_contraction_ratio as v from m2_setups_with_features
         union all select universe_variant, 'adr_pct', adr_pct from m2_setups_with_features) t,
