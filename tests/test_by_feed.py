@@ -13,6 +13,6 @@ def test_every_feed_of_a_ticker_counts(spark, tmp_path):
     spark.createDataFrame(rows, BARS).write.parquet(str(tmp_path / "daily_bars.parquet"))
     spark.createDataFrame([("HOT",)], "ticker string").write.parquet(str(tmp_path / "m1_setups.parquet"))
     run = lambda name: {r[0]: r for r in entry.queries()[name](spark, str(tmp_path)).collect()}
-    assert {k: r.volume for k, r in run("slice_aggregates_by_feed_a20").items()} == {"F0/HOT": 4, "F1/HOT": 8, "F2/HOT": 12}
-    assert {k: r.n for k, r in run("semi_join_by_feed_j8").items()} == {"F0/HOT": 4, "F1/HOT": 4, "F2/HOT": 4}
-    assert entry.queries()["funnel_by_feed_a8"](spark, str(tmp_path)).first().all_rows == 12
+    assert {k: r.volume for k, r in run("slice_aggregates_a20").items()} == {"F0/HOT": 4, "F1/HOT": 8, "F2/HOT": 12}
+    assert {k: r.n for k, r in run("semi_join_j8").items()} == {"F0/HOT": 4, "F1/HOT": 4, "F2/HOT": 4}
+    assert entry.queries()["funnel_a8"](spark, str(tmp_path)).first().all_rows == 12

@@ -24,6 +24,6 @@ def test_query(spark, duck, name):
 
 
 def test_entry_and_registry(spark):
-    assert entry.entry(spark).columns == ["ticker", "date", "mom_12_1", "mom_pct"]
+    assert entry.entry(spark).columns == ["series", "date", "mom_12_1", "mom_pct"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert all(any(k.startswith(f"p{n}_") for k in entry.queries()) for n in range(1, 5))

@@ -1,27 +1,26 @@
 """Multi-stage pattern detection on bars: pivot, leg up, consolidation, extension before the breakout.
 
-A candidate at position t of its segment needs the ``REACH`` bars before it.  Candidates and bars meet in an equi-join
-on (series, segment, bucket of positions), the band is cut by position, and the bars of a candidate become one sorted array of at
-most REACH + 1 structs; every rule is then an expression on slices of that array, inside the JVM.  One exchange of
-the bars serves all stages.  Positions are 0-based within a segment.
+A candidate at position t of its segment needs the ``reach`` bars before it, as many as the parameters look back.  Candidates and bars meet in an
+equi-join on (series, segment, bucket of positions), the band is cut by position, and the bars of a candidate become one sorted array of at
+most reach + 1 structs; every rule is then an expression on slices of that array, inside the JVM.  One exchange of
+the bars serves all stages.  Positions are 0-based within a segment.  Bars with nulls keep their position; a null is no extreme, fails a test,
+and makes a mean or slope over it null.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions.windows import clip01, finite
 
-REACH = 210  #: pivot up to 90 back, leg 60 before it, anchor 60 before that
-BUCKET = 256  #: positions of a join bucket; not below REACH
-
-
 @dataclass(frozen=True)
 class PatternParams:
-    """Thresholds of the stages; positions and durations are in bars."""
+    """Thresholds of the stages, the defaults fixed values; positions and durations are in bars."""
 
     pivot_back: int = 90
     pivot_lag: int = 15
@@ -52,23 +51,31 @@ class PatternParams:
     up_close: float = 1.003
     up_run: int = 2
 
+    @property
+    def reach(self) -> int:
+        """Bars before a candidate that any stage may look at: the pivot, the leg before it and the anchor before that."""
+        return max(self.pivot_back, self.near, 5) + max(self.leg_most + self.anchor, self.near) + 1
+
 
 FIELDS = ["idx", "date", "open", "high", "low", "close", "sma_10", "sma_20", "sma_50", "prev_close", "cum_up"]
 
 
-def candidate_bars(candidates: DataFrame, features: DataFrame) -> DataFrame:
-    """candidates (series, segment_id, t, ...) with w: their bars t - REACH .. t in order."""
+def candidate_bars(candidates: DataFrame, features: DataFrame, reach: int) -> DataFrame:
+    """candidates (series, segment_id, t, ...) with w: their bars t - reach .. t in order."""
     keys = ["series", "segment_id", "t"]
-    ask = candidates.select(*keys, F.explode(F.array_distinct(F.array(F.floor(F.col("t") / BUCKET), F.floor(F.greatest(F.col("t") - REACH, F.lit(0)) / BUCKET)))).alias("bucket"))
-    bars = features.withColumn("idx", F.col("days_in_segment") - 1).select("series", "segment_id", F.floor(F.col("idx") / BUCKET).alias("bucket"), F.struct(*FIELDS).alias("b"))
-    band = ask.join(bars, ["series", "segment_id", "bucket"]).filter(F.col("b.idx").between(F.col("t") - REACH, F.col("t")))
+    bucket = 1 << reach.bit_length()  # so that two buckets hold the reach
+    ask = candidates.select(*keys, F.explode(F.array_distinct(F.array(F.floor(F.col("t") / bucket), F.floor(F.greatest(F.col("t") - reach, F.lit(0)) / bucket)))).alias("bucket"))
+    bars = features.withColumn("idx", F.col("days_in_segment") - 1).select("series", "segment_id", F.floor(F.col("idx") / bucket).alias("bucket"), F.struct(*FIELDS).alias("b"))
+    band = ask.join(bars, ["series", "segment_id", "bucket"]).filter(F.col("b.idx").between(F.col("t") - reach, F.col("t")))
     arrays = band.groupBy(*keys).agg(F.array_sort(F.collect_list("b")).alias("w"))
     return candidates.join(arrays, keys)
 
 
 def _part(lo: Column, hi: Column) -> Column:
-    """Bars at positions lo..hi of a candidate, both included."""
-    return F.slice("w", (lo - F.col("w")[0]["idx"] + 1).cast("int"), F.greatest(hi - lo + 1, F.lit(0)).cast("int"))
+    """Bars at positions lo..hi of a candidate, both included; positions before its first bar are not there."""
+    first = F.col("w")[0]["idx"]
+    start = F.when(lo < first, first).otherwise(lo)  # a null stays null
+    return F.slice("w", (start - first + 1).cast("int"), F.greatest(hi - start + 1, F.lit(0)).cast("int"))
 
 
 def _bar(i: Column, field: str) -> Column:
@@ -77,7 +84,7 @@ def _bar(i: Column, field: str) -> Column:
 
 def _first(part: Column, key) -> Column:
     """Position of the first bar with the least key."""
-    return F.array_min(F.transform(part, lambda x: F.struct(key(x).alias("k"), x["idx"].alias("i"))))["i"]
+    return F.array_min(F.transform(F.filter(part, lambda x: key(x).isNotNull()), lambda x: F.struct(key(x).alias("k"), x["idx"].alias("i"))))["i"]
 
 
 def _count(part: Column, test) -> Column:
@@ -112,7 +119,7 @@ def evaluate(candidates: DataFrame, features: DataFrame, p: PatternParams = Patt
     candidates: rows of ``features`` (see series.add_features, with a column series).  Stages do not hide each other: each is
     judged where its inputs exist, so the same frame explains why a candidate failed.
     """
-    c = candidate_bars(candidates.withColumn("t", F.col("days_in_segment") - 1), features)
+    c = candidate_bars(candidates.withColumn("t", F.col("days_in_segment") - 1), features, p.reach)
     t = F.col("t")
     lo, hi = F.greatest(F.lit(0), t - p.pivot_back), t - p.pivot_lag
     c = _settled(c, {"pivot": F.when(hi >= lo, _first(_part(lo, hi), lambda x: -x["high"]))})
@@ -160,8 +167,13 @@ def evaluate(candidates: DataFrame, features: DataFrame, p: PatternParams = Patt
     half = F.floor(n / 2).cast("int")
     early, late = _mean(F.slice(ranges, F.lit(1), half), lambda x: x), _mean(F.slice(ranges, half + 1, n - half), lambda x: x)
     with_mean = F.filter(base, lambda x: x["sma_20"].isNotNull())
+
+    def below(j: Column) -> Column:
+        here = F.get(base, j)["close"]
+        return reduce(and_, [here < F.get(base, j + o)["close"] for o in (-2, -1, 1, 2)])
+
     minima = F.transform(
-        F.filter(F.sequence(F.lit(2), F.greatest(n - 3, F.lit(2))), lambda j: (j <= n - 3) & (F.get(base, j)["close"] < F.least(*[F.get(base, j + o)["close"] for o in (-2, -1, 1, 2)]))),
+        F.filter(F.sequence(F.lit(2), F.greatest(n - 3, F.lit(2))), lambda j: (j <= n - 3) & F.coalesce(below(j), F.lit(False))),
         lambda j: F.get(base, j)["close"],
     )
     c = _settled(c, {"minima": minima})
@@ -201,6 +213,7 @@ class Variant:
     max_high_distance: float | None = None
 
 
+# The variants, and below them the columns of a setup.
 VARIANTS = (Variant("strict", 0.90, 0.15), Variant("loose", 0.80))
 
 

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import datetime
-import re
-from functools import partial, reduce
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +17,7 @@ from tidewright.operators.detect import quality_score, space_out
 from tidewright.operators.events import factor_windows, forward_returns, window_features
 from tidewright.operators.quantiles import exact_quantiles
 from tidewright.operators.upsert import missing_keys, needs_refresh, upsert
-from tidewright.plans.common import BARS_SQL, FACTOR_NAMES, FACTORS_SQL, SETUPS_SQL, by_feed_sql, factors, setups, setups_by_feed, ticker_bars
+from tidewright.plans.common import BARS_SQL, FACTOR_NAMES, FACTORS_SQL, SETUPS_SQL, bars, by_series, factors, setups, setups_by_feed
 from tidewright.sources.bars import data_block, factor_panel, parse_factors
 from tidewright.sources.tables import table
 
@@ -210,31 +209,30 @@ def factor_sums_w14(spark: SparkSession, d: str) -> DataFrame:
 # ---- event features and returns
 
 
-def window_features_e1_e5_j14(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    s, key, event = (setups_by_feed(spark, d), "series", "event") if every else (setups(spark, d), "ticker", "setup_id")
-    out = window_features(s, ticker_bars(spark, d, every), table(spark, d, "spy_daily"), key, event, "cons_start_date", "cons_end_date")
-    return out.select("event.*" if every else "setup_id", "n_bars", *[F.round(c, 7).alias(c) for c in ("vol_contraction_ratio", "adr_pct", "rs_slope")], "drop_reason")
+def window_features_e1_e5_j14(spark: SparkSession, d: str) -> DataFrame:
+    out = window_features(setups_by_feed(spark, d), bars(spark, d), table(spark, d, "spy_daily"), "series", "event", "cons_start_date", "cons_end_date")
+    return out.select("event.*", "n_bars", *[F.round(c, 7).alias(c) for c in ("vol_contraction_ratio", "adr_pct", "rs_slope")], "drop_reason")
 
 
-def _returns(spark: SparkSession, d: str, every: bool) -> DataFrame:
-    return forward_returns(setups_by_feed(spark, d), ticker_bars(spark, d, True), "series") if every else forward_returns(setups(spark, d), ticker_bars(spark, d), "ticker")
+def _returns(spark: SparkSession, d: str) -> DataFrame:
+    return forward_returns(setups_by_feed(spark, d), bars(spark, d), "series")
 
 
-def forward_returns_e6_j15_w16(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    out = _returns(spark, d, every)
-    return out.select(*(["setup_id", "series"] if every else ["setup_id"]), F.round("fwd_ret", 9).alias("fwd_ret"), "fwd_end_date", "fwd_reason")
+def forward_returns_e6_j15_w16(spark: SparkSession, d: str) -> DataFrame:
+    out = _returns(spark, d)
+    return out.select("setup_id", "series", F.round("fwd_ret", 9).alias("fwd_ret"), "fwd_end_date", "fwd_reason")
 
 
-def _panel(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    return factor_windows(_returns(spark, d, every), factors(spark, d), FACTOR_NAMES).withColumn("sector", text_or("sector", "Unknown"))
+def _panel(spark: SparkSession, d: str) -> DataFrame:
+    return factor_windows(_returns(spark, d), factors(spark, d), FACTOR_NAMES).withColumn("sector", text_or("sector", "Unknown"))
 
 
-def factor_windows_e8_w15_j4_j5(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    return _panel(spark, d, every).select(*(["setup_id", "series"] if every else ["setup_id"]), "fwd_end_date", *[F.round(w, 8).alias(w) for w in WINDOWS])
+def factor_windows_e8_w15_j4_j5(spark: SparkSession, d: str) -> DataFrame:
+    return _panel(spark, d).select("setup_id", "series", "fwd_end_date", *[F.round(w, 8).alias(w) for w in WINDOWS])
 
 
-def kept_by_year_a28(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    p = _panel(spark, d, every)
+def kept_by_year_a28(spark: SparkSession, d: str) -> DataFrame:
+    p = _panel(spark, d)
     return p.groupBy(F.year("date").cast("bigint").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("fwd_ret").isNotNull()).alias("kept"))
 
 
@@ -270,7 +268,7 @@ def simple_ols_r2(spark: SparkSession, d: str) -> DataFrame:
 
 def residuals_r3(spark: SparkSession, d: str) -> DataFrame:
     out, _ = _residuals(spark, d)
-    return out.select("setup_id", F.round("fwd_ret_resid", 9).alias("fwd_ret_resid"))
+    return out.select("setup_id", "series", F.round("fwd_ret_resid", 9).alias("fwd_ret_resid"))
 
 
 def winsorized_r4_a29(spark: SparkSession, d: str) -> DataFrame:
@@ -298,8 +296,8 @@ TAUS = [0.1, 0.25, 0.5, 0.75, 0.9]
 
 
 def _estimable() -> Column:
-    """All regressors are there and possible."""
-    good = finite("vol_contraction_ratio_w") & finite("adr_pct") & finite("rs_slope_vs_spy") & (F.abs("rs_slope_vs_spy") < 1)
+    """All regressors are there."""
+    good = finite("vol_contraction_ratio_w") & finite("adr_pct") & finite("rs_slope_vs_spy")
     return good & F.col("base_duration_days").isNotNull()
 
 
@@ -395,11 +393,11 @@ def _draws(spark: SparkSession, d: str, real: int = 1000, placebo: int = 500) ->
         if end not in fitted:
             fitted[end] = _estimation_rows(spark, d, end)
         rows = fitted[end].filter((F.col("universe_variant") == panel) & F.col("date").between(F.lit(TRAIN[0]).cast("date"), F.lit(end).cast("date")))
-        pdf = rows.select(*TERMS["primary"], "fwd_ret_resid").orderBy("date", "ticker", "setup_id").limit(quantreg.MOST_ROWS + 1).toPandas()
+        pdf = rows.select(*TERMS["primary"], "fwd_ret_resid").orderBy("date", "ticker", "setup_id", "series").limit(quantreg.MOST_ROWS + 1).toPandas()
         x = np.column_stack([np.ones(len(pdf)), pdf[TERMS["primary"]].to_numpy(float)])
         draws = quantreg.bootstrap(spark, x, pdf["fwd_ret_resid"].to_numpy(), {"real": real} | ({"placebo": placebo} if with_placebo else {}), f"{label}/{panel}", 20260514)
         every.append(draws.withColumns({"train_start": F.lit(TRAIN[0]).cast("date"), "train_end": F.lit(end).cast("date"), "n_train": F.lit(len(pdf)).cast("bigint")}))
-    return reduce(DataFrame.unionByName, every)
+    return reduce(DataFrame.unionByName)
 
 
 def _labelled(out: DataFrame) -> DataFrame:
@@ -424,10 +422,6 @@ QUERIES = {f.__name__: f for f in (
     estimation_grid_r5_r6, headline_r7, flags_r8, coefficient_table_r9, bands_k7, walk_forward_r10, sign_trend_r11, bootstrap_r12_r14_r17, inference_r15_r16,
 )}
 
-#: Queries on events with one result per feed.
-BY_FEED = {re.sub(r"((_[a-z]\d+)+)$", r"_by_feed\1", f.__name__): f for f in (window_features_e1_e5_j14, forward_returns_e6_j15_w16, factor_windows_e8_w15_j4_j5, kept_by_year_a28)}
-QUERIES |= {k: partial(f, every=True) for k, f in BY_FEED.items()}
-
 _SECTOR = "case when trim(sector) <> '' then sector else 'Unknown' end"
 _LONG = " union all ".join(f"select universe_variant, '{c}' as column_name, {c}::double as v from st" for c in FEATURES)
 _FIN = "v is not null and isfinite(v)"
@@ -495,4 +489,5 @@ SQL = {
     "slices_a30": f"""with {_FWD}, x as (select case when date <= date '{TRAIN[1]}' then 'train' else 'later' end as slice, fwd_ret as v from fr where fwd_ret is not null and isfinite(fwd_ret))
         select slice, count(*) as n, round(avg(v), 8) as mean, round(stddev_samp(v), 8) as std, round(quantile_cont(v, 0.1), 8) as p10, round(quantile_cont(v, 0.5), 8) as p50, round(quantile_cont(v, 0.9), 8) as p90 from x group by 1""",
 }
-SQL |= {k: by_feed_sql(SQL[f.__name__], () if f is kept_by_year_a28 else ("setup_id",)) for k, f in BY_FEED.items()}
+SQL |= {k: by_series(SQL[k], ("setup_id",)) for k in ("window_features_e1_e5_j14", "forward_returns_e6_j15_w16", "factor_windows_e8_w15_j4_j5")}
+SQL |= {k: by_series(SQL[k], ()) for k in ("kept_by_year_a28", "design_counts_r1", "simple_ols_r2", "winsorized_r4_a29", "slices_a30")}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,29 +27,39 @@ SPLIT_DATES = ["execution_date", "ex_date", "date", "effective_date"]
 def normalize_bars(raw: DataFrame) -> DataFrame:
     """ticker, date, open, high, low, close, volume from any accepted spelling.
 
-    Dates may be dates, timestamps, text, or epoch numbers: bigint nanoseconds, other integers milliseconds.
-    Raises ValueError naming the columns that are missing.
+    Dates may be dates, timestamps, text, or epoch numbers, whose unit (seconds, milli-, micro- or nanoseconds) is told by their size: the units lie
+    a factor of a thousand apart, so that each is meant for the years 1973 to 5138 alone.  Names are matched exactly before they are matched
+    without case, so that ``T`` (ticker) and ``t`` (time) may stand side by side.  Raises ValueError naming the columns that are missing.
     """
-    found = {k: next((n for n in names if n in raw.columns), None) for k, names in BAR_NAMES.items()}
-    if lost := [k for k, v in found.items() if v is None]:
+    at: dict[str, int] = {}
+    for k, names in BAR_NAMES.items():
+        same = [raw.columns.index(n) for n in names if n in raw.columns]
+        alike = [i for n in names for i, c in enumerate(raw.columns) if c.lower() == n.lower() and c not in sum(BAR_NAMES.values(), [])]
+        if same or alike:
+            at[k] = (same + alike)[0]
+    if lost := [k for k in BAR_NAMES if k not in at]:
         raise ValueError(f"bars lack {', '.join(lost)}; columns are {', '.join(raw.columns)}")
-    kind = raw.schema[found["date"]].dataType
-    when = F.col(found["date"])
-    if isinstance(kind, T.LongType):
-        when = F.date_from_unix_date(F.floor(when / F.lit(86_400_000_000_000)).cast("int"))
-    elif isinstance(kind, T.IntegralType):
-        when = F.date_from_unix_date(F.floor(when / F.lit(86_400_000)).cast("int"))
+    kind = raw.schema.fields[at["date"]].dataType
+    named = raw.toDF(*[f"_{i}" for i in range(len(raw.columns))])  # by position, as Spark takes T and t for one name
+    col = lambda k: F.col(f"_{at[k]}")
+    when = col("date")
+    if isinstance(kind, T.IntegralType):
+        size = F.abs(when.cast("bigint"))
+        day = F.when(size >= 10**17, F.lit(86_400 * 10**9)).when(size >= 10**14, F.lit(86_400 * 10**6)).when(size >= 10**11, F.lit(86_400_000)).otherwise(F.lit(86_400))
+        when = F.date_from_unix_date(F.floor(when / day).cast("int"))
     else:
         when = when.cast("date")
-    prices = [F.col(found[c]).cast("double").alias(c) for c in ("open", "high", "low", "close")]
-    return raw.select(F.col(found["ticker"]).cast("string").alias("ticker"), when.alias("date"), *prices, F.col(found["volume"]).cast("bigint").alias("volume"))
+    prices = [col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")]
+    return named.select(col("ticker").cast("string").alias("ticker"), when.alias("date"), *prices, col("volume").cast("bigint").alias("volume"))
 
 
 def read_splits(spark: SparkSession, path: str) -> DataFrame | None:
-    """Distinct (ticker, date) of split events; None if there is no such file or it lacks the columns."""
+    """Distinct (ticker, date) of split events; None if there is no such file or it lacks the columns.  A file that can't be read raises."""
     try:
         raw = spark.read.parquet(path)
-    except Exception:  # an optional input
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     return normalize_splits(raw)
 
