@@ -60,7 +60,10 @@ def quantiles_linear_a10(spark: SparkSession, d: str) -> DataFrame:
 
 def moments_a11(spark: SparkSession, d: str) -> DataFrame:
     rows = _long(setups(spark, d), ["adr_pct", "base_duration_days", "mom_pct", "close"], ["universe_variant"])
-    return rows.groupBy("universe_variant", "column_name").agg(F.count("value").alias("n"), F.round(F.avg("value"), 8).alias("mean"), F.round(F.stddev_samp("value"), 8).alias("std"))
+    keys = ["universe_variant", "column_name"]
+    middle = exact_quantiles(rows, keys, "value", [0.5]).select(*[F.col(k).alias(f"_{k}") for k in keys], F.round("quantile", 8).alias("median"))
+    out = rows.groupBy(*keys).agg(F.count("value").alias("n"), F.round(F.avg("value"), 8).alias("mean"), F.round(F.stddev_samp("value"), 8).alias("std"))
+    return out.join(middle, F.col("universe_variant").eqNullSafe(F.col("_universe_variant")) & (F.col("column_name") == F.col("_column_name"))).drop("_universe_variant", "_column_name")
 
 
 CORR = ["mom_pct", "legup_gain_pct", "cons_max_drop_pct", "breakout_range_pct", "dist_52w_high_pct"]
@@ -126,7 +129,7 @@ def first_rows_o1_o4(spark: SparkSession, d: str) -> DataFrame:
 
 def sample_o5(spark: SparkSession, d: str) -> DataFrame:
     """A sample of ten that a seed fixes."""
-    return setups(spark, d).orderBy(F.xxhash64("setup_id", F.lit(42)), "setup_id").limit(10).select("setup_id", "ticker", "date")
+    return setups(spark, d).orderBy(F.md5(F.concat_ws("/", F.col("setup_id"), F.lit("42"))), "setup_id").limit(10).select("setup_id", "ticker", "date")
 
 
 def union_u1(spark: SparkSession, d: str) -> DataFrame:
@@ -176,7 +179,8 @@ def scores_d10_p18(spark: SparkSession, d: str) -> DataFrame:
 def spacing_d9(spark: SparkSession, d: str) -> DataFrame:
     """Setups of each variant and ticker at least 30 days apart, better scores first in collisions."""
     s = quality_score(setups(spark, d)).withColumn("score", F.coalesce("score", F.lit(0.0)))
-    s = s.select("setup_id", "ticker", "universe_variant", "date", F.year("date").cast("bigint").alias("segment_id"), F.dayofyear("date").cast("bigint").alias("days_in_segment"), "score")
+    # one segment whose positions are days, so that the turn of a year is no border
+    s = s.select("setup_id", "ticker", "universe_variant", "date", F.lit(0).cast("bigint").alias("segment_id"), F.unix_date("date").cast("bigint").alias("days_in_segment"), "score").filter(F.col("date").isNotNull())
     return space_out(s, "ticker", 30, ("universe_variant",)).select("setup_id", "ticker", "universe_variant", "date")
 
 
@@ -279,13 +283,36 @@ def winsorized_r4_a29(spark: SparkSession, d: str) -> DataFrame:
     return out.agg(F.lit(info["p99"]).alias("p99"), F.count_if(above & train).alias("n_train_above"), F.count_if(above).alias("n_above"), F.round(F.max(F.when(finite("vol_contraction_ratio_w"), F.col("vol_contraction_ratio_w"))), 9).alias("most"))
 
 
-def slices_a30(spark: SparkSession, d: str) -> DataFrame:
-    """Distribution of returns in the training dates and after them."""
-    rows = _panel(spark, d).filter(finite("fwd_ret")).withColumn("slice", F.when(F.col("date") <= F.lit(TRAIN[1]).cast("date"), "train").otherwise("later"))
-    q = exact_quantiles(rows, ["slice"], "fwd_ret", [0.1, 0.5, 0.9])
+def _distribution(rows: DataFrame, value: str) -> DataFrame:
+    rows = rows.filter(finite(value)).withColumn("slice", F.when(F.col("date") <= F.lit(TRAIN[1]).cast("date"), "train").otherwise("later"))
+    q = exact_quantiles(rows, ["slice"], value, [0.1, 0.5, 0.9])
     at = lambda p: F.round(F.max(F.when(F.col("prob") == p, F.col("quantile"))), 8)
     w = q.groupBy("slice").agg(at(0.1).alias("p10"), at(0.5).alias("p50"), at(0.9).alias("p90"))
-    return rows.groupBy("slice").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("fwd_ret"), 8).alias("mean"), F.round(F.stddev_samp("fwd_ret"), 8).alias("std")).join(w, "slice")
+    return rows.groupBy("slice").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 8).alias("mean"), F.round(F.stddev_samp(value), 8).alias("std")).join(w, "slice")
+
+
+def slices_a30(spark: SparkSession, d: str) -> DataFrame:
+    """Distribution of returns in the training dates and after them."""
+    return _distribution(_panel(spark, d), "fwd_ret")
+
+
+def residual_slices_a30(spark: SparkSession, d: str) -> DataFrame:
+    """The same of the residuals."""
+    return _distribution(_residuals(spark, d)[0], "fwd_ret_resid")
+
+
+def residual_balance_r2_r3(spark: SparkSession, d: str) -> DataFrame:
+    """The normal equations: over the training rows of each sector and year the residuals add up to nothing, and so do their products with each factor."""
+    out, _ = _residuals(spark, d)
+    train = out.filter(F.col("date").between(*[F.lit(x).cast("date") for x in TRAIN]))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("category"), F.lit(1.0).alias("x")) for k in ("sector", "year")], *[F.struct(F.lit("factor").alias("kind"), F.lit(w).alias("category"), F.col(w).alias("x")) for w in WINDOWS])).alias("c")
+    total = F.sum(F.col("c.x") * F.col("fwd_ret_resid"))
+    return train.select("fwd_ret_resid", each).groupBy("c.kind", "c.category").agg(F.count(F.lit(1)).alias("n"), (F.abs(total) < 1e-6).alias("balanced"))
+
+
+def residual_rows_r3(spark: SparkSession, d: str) -> DataFrame:
+    """The rows that have a residual."""
+    return _residuals(spark, d)[0].filter(finite("fwd_ret_resid")).select("setup_id", "series", F.col("year").cast("bigint").alias("year"))
 
 
 # ---- estimation
@@ -318,9 +345,13 @@ def headline_r7(spark: SparkSession, d: str) -> DataFrame:
     return quantreg.headline(_grid(spark, d), RATIOS)
 
 
+def _flagged_terms(coefs: DataFrame) -> DataFrame:
+    return coefs.filter((F.col("model") == "ols") & (F.col("spec") == "primary") & (F.col("term") != "const") & (F.abs("t_or_z") > 3))
+
+
 def flags_r8(spark: SparkSession, d: str) -> DataFrame:
     """Terms of the primary least-squares models with |t| > 3."""
-    return _grid(spark, d).filter((F.col("model") == "ols") & (F.col("spec") == "primary") & (F.col("term") != "const") & (F.abs("t_or_z") > 3))
+    return _flagged_terms(_grid(spark, d))
 
 
 def coefficient_table_r9(spark: SparkSession, d: str) -> DataFrame:
@@ -333,6 +364,59 @@ def bands_k7(spark: SparkSession, d: str) -> DataFrame:
     return g.select("panel", "spec", "tau", "coef", (F.col("coef") - 1.96 * F.col("std_err")).alias("lo"), (F.col("coef") + 1.96 * F.col("std_err")).alias("hi"))
 
 
+def quantile_counts_r5_r6(spark: SparkSession, d: str) -> DataFrame:
+    """Optimality of each quantile fit: with k terms at most k rows lie on it, so that at most tau * n rows are below and at most (1 - tau) * n above,
+    up to k; and n is the number of rows with all terms."""
+    rows = _estimation_rows(spark, d)
+    wide = quantreg.estimation_grid(rows, "universe_variant", TERMS, "fwd_ret_resid", TAUS).filter(F.col("tau").isNotNull())
+    coefs = wide.groupBy("panel", "spec", "tau").agg(F.max("n").alias("n_fit"), F.map_from_entries(F.collect_list(F.struct("term", "coef"))).alias("b"))
+    met = rows.join(coefs, rows["universe_variant"] == coefs["panel"])
+    fitted = F.col("b")["const"]
+    for t in ("vol_contraction_ratio_w", "vol_contraction_ratio", "adr_pct", "base_duration_days", "rs_slope_vs_spy"):
+        fitted = fitted + F.coalesce(F.col("b")[t], F.lit(0.0)) * F.when(F.col("b")[t].isNotNull(), F.col(t).cast("double")).otherwise(0.0)
+    e, k = F.col("fwd_ret_resid") - fitted, 5
+    tau = F.col("tau")
+    out = met.filter(finite(e)).groupBy("panel", "spec", "tau").agg(F.count(F.lit(1)).alias("n"), F.max("n_fit").alias("n_fit"), F.count_if(e < -1e-6).alias("_below"), F.count_if(e > 1e-6).alias("_above"))
+    ok = (F.col("_below") <= tau * F.col("n") + k) & (F.col("_above") <= (1 - tau) * F.col("n") + k)
+    return out.select("panel", "spec", "tau", "n", (F.col("n") == F.col("n_fit")).alias("same_rows"), ok.alias("optimal"))
+
+
+def _made_coefs(spark: SparkSession, d: str) -> DataFrame:
+    """A coefficient table made from the setups' own numbers, to hold the tables on it against SQL."""
+    s = setups(spark, d).filter(F.col("universe_variant").isNotNull())
+    terms = F.explode(F.array(*[F.struct(F.lit(c).alias("term"), F.col(c).cast("double").alias("v")) for c in CORR])).alias("t")
+    models = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(t).cast("double").alias("tau"), F.lit(w).alias("w")) for m, t, w in MADE])).alias("m")
+    g = s.select("universe_variant", terms).filter(finite("t.v")).groupBy(F.col("universe_variant").alias("panel"), "t.term").agg(F.round(F.avg("t.v"), 6).alias("a"), F.count(F.lit(1)).alias("n"))
+    return g.select("panel", F.lit("primary").alias("spec"), "term", models, "a", "n").select("panel", "spec", "m.model", "m.tau", "term", (F.col("a") * F.col("m.w")).alias("coef"), F.lit(0.25).alias("std_err"), (F.col("a") * F.col("m.w") * 4).alias("t_or_z"), "n")
+
+
+MADE = (("ols", None, 4.0), ("qr_0.5", 0.5, 1.0), ("qr_0.9", 0.9, 3.0))
+
+
+def headline_rules_r7(spark: SparkSession, d: str) -> DataFrame:
+    """The headline of one term on a made coefficient table."""
+    return quantreg.headline(_made_coefs(spark, d), "legup_gain_pct").select("panel", "spec", *[F.round(c, 8).alias(c) for c in ("beta_low", "beta_high", "diff")])
+
+
+def flag_rules_r8(spark: SparkSession, d: str) -> DataFrame:
+    """Least-squares terms with |t| > 3 on a made coefficient table."""
+    return _flagged_terms(_made_coefs(spark, d)).select("panel", "term", F.round("t_or_z", 8).alias("t_or_z"))
+
+
+def table_rules_r9(spark: SparkSession, d: str) -> DataFrame:
+    """The text table of a made coefficient table."""
+    return quantreg.coefficient_table(_made_coefs(spark, d), [m for m, _, _ in MADE])
+
+
+def inference_rules_r15_r16(spark: SparkSession, d: str) -> DataFrame:
+    """The summary of draws, on draws made from the setups' own numbers: real from mom_12_1, placebo from legup_gain_pct."""
+    s = setups(spark, d).filter(F.col("universe_variant").isNotNull()).withColumn("label", F.col("universe_variant"))
+    draw = lambda mode, v: s.filter(finite(v)).select("label", F.lit(mode).alias("mode"), F.round(F.col(v) - 0.3, 6).alias("diff"), (F.col("setup_id") % 7 != 0).alias("converged"))
+    point = s.filter(finite("mom_pct")).groupBy("label").agg(F.round(F.avg("mom_pct") - 0.5, 6).alias("diff")).select("label", F.lit("point").alias("mode"), "diff", F.lit(True).alias("converged"))
+    out = quantreg.inference(point.unionByName(draw("real", "mom_12_1")).unionByName(draw("placebo", "legup_gain_pct")))
+    return out.select(*[F.round(c, 7).alias(c) if t == "double" else c for c, t in out.dtypes])
+
+
 WALK_PANELS = ("loose", "strict")
 FIRST_SCORE_YEAR = 2017
 LEAST_ROWS = 50
@@ -371,6 +455,11 @@ def walk_forward_r10(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, WALK_SCHEMA)
 
 
+def walk_counts_r10(spark: SparkSession, d: str) -> DataFrame:
+    """Years and panels of walk_forward_r10 with their rows and caps."""
+    return walk_forward_r10(spark, d).select("year", "panel", "train_start", "train_end", "n_train", "n_score", F.round("p99_train", 9).alias("p99_train"), "fit_succeeded")
+
+
 def sign_trend_r11(spark: SparkSession, d: str) -> DataFrame:
     """Per panel, how many yearly differences are negative, and whether their size grows.
 
@@ -397,7 +486,7 @@ def _draws(spark: SparkSession, d: str, real: int = 1000, placebo: int = 500) ->
         x = np.column_stack([np.ones(len(pdf)), pdf[TERMS["primary"]].to_numpy(float)])
         draws = quantreg.bootstrap(spark, x, pdf["fwd_ret_resid"].to_numpy(), {"real": real} | ({"placebo": placebo} if with_placebo else {}), f"{label}/{panel}", 20260514)
         every.append(draws.withColumns({"train_start": F.lit(TRAIN[0]).cast("date"), "train_end": F.lit(end).cast("date"), "n_train": F.lit(len(pdf)).cast("bigint")}))
-    return reduce(DataFrame.unionByName)
+    return reduce(DataFrame.unionByName, every)
 
 
 def _labelled(out: DataFrame) -> DataFrame:
@@ -410,6 +499,12 @@ def bootstrap_r12_r14_r17(spark: SparkSession, d: str) -> DataFrame:
     return _labelled(quantreg.number_draws(_draws(spark, d)))
 
 
+def draw_counts_r12_r14_r17_r18_r19(spark: SparkSession, d: str) -> DataFrame:
+    """Runs, modes and numbers of the draw table."""
+    out = bootstrap_r12_r14_r17(spark, d).groupBy("label", "panel", "mode").agg(F.count(F.lit(1)).alias("n"), F.min("draw_idx").alias("first"), F.max("draw_idx").alias("last"), F.count_distinct("draw_idx").alias("n_distinct"), F.max("n_train").alias("n_train"), F.max("train_end").alias("train_end"))
+    return out
+
+
 def inference_r15_r16(spark: SparkSession, d: str) -> DataFrame:
     # the summary reads the draws three times
     return _labelled(quantreg.inference(_draws(spark, d).persist()))
@@ -418,8 +513,8 @@ def inference_r15_r16(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     counts_a5, pivot_a6_o6, quantiles_nearest_a9, quantiles_linear_a10, moments_a11, correlations_a12_a13, missing_by_variant_a14, reasons_a15, top_sector_a16, sign_verdict_a22, range_verdict_a26, histogram_a27_k7,
     top_tickers_o3, first_rows_o1_o4, sample_o5, union_u1, excluded_tickers_u2_d16, difference_u4_s11_j10, upsert_s12, sector_lookup_j7_p21, gate_k2, scores_d10_p18, spacing_d9, data_block_s7, factor_panel_s8_e7_j3, factor_sums_w14,
-    window_features_e1_e5_j14, forward_returns_e6_j15_w16, factor_windows_e8_w15_j4_j5, kept_by_year_a28, design_counts_r1, ols_r2, simple_ols_r2, residuals_r3, winsorized_r4_a29, slices_a30,
-    estimation_grid_r5_r6, headline_r7, flags_r8, coefficient_table_r9, bands_k7, walk_forward_r10, sign_trend_r11, bootstrap_r12_r14_r17, inference_r15_r16,
+    window_features_e1_e5_j14, forward_returns_e6_j15_w16, factor_windows_e8_w15_j4_j5, kept_by_year_a28, design_counts_r1, ols_r2, simple_ols_r2, residuals_r3, winsorized_r4_a29, slices_a30, residual_slices_a30, residual_balance_r2_r3, residual_rows_r3, quantile_counts_r5_r6, headline_rules_r7, flag_rules_r8, table_rules_r9, inference_rules_r15_r16,
+    estimation_grid_r5_r6, headline_r7, flags_r8, coefficient_table_r9, bands_k7, walk_forward_r10, walk_counts_r10, sign_trend_r11, bootstrap_r12_r14_r17, draw_counts_r12_r14_r17_r18_r19, inference_r15_r16,
 )}
 
 _SECTOR = "case when trim(sector) <> '' then sector else 'Unknown' end"
@@ -452,7 +547,7 @@ SQL = {
         select universe_variant, column_name, p, v as quantile, n from r, (select unnest([0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0])::double as p) where k = floor((n - 1) * p + 0.5)""",
     "quantiles_linear_a10": f"with {SETUPS_SQL}, x as ({_LONG}) " + " union all ".join(f"select universe_variant, column_name, {p}::double as p, round(quantile_cont(v, {p}), 9) as quantile, count(*) as n from x where {_FIN} group by all" for p in (0.025, 0.1, 0.5, 0.9, 0.975)),
     "moments_a11": f"""with {SETUPS_SQL}, x as ({' union all '.join(f"select universe_variant, '{c}' as column_name, {c}::double as v from st" for c in ('adr_pct', 'base_duration_days', 'mom_pct', 'close'))})
-        select universe_variant, column_name, count(*) as n, round(avg(v), 8) as mean, round(stddev_samp(v), 8) as std from x where {_FIN} group by all""",
+        select universe_variant, column_name, count(*) as n, round(avg(v), 8) as mean, round(stddev_samp(v), 8) as std, round(quantile_cont(v, 0.5), 8) as median from x where {_FIN} group by all""",
     "correlations_a12_a13": f"with {SETUPS_SQL}, x as (select * from st where {_CORR_OK}) " + " union all ".join(f"select '{a}' as a, '{b}' as b, round(corr({a}, {b}), 8) as corr from x" for i, a in enumerate(CORR) for b in CORR[i:]),
     "missing_by_variant_a14": f"with {SETUPS_SQL} select universe_variant, count(*) as n, " + ", ".join(f"count(*) filter ({c} is null or isnan({c}::double)) as {c}_missing" for c in FEATURES) + f", count(*) filter ({_SECTOR} = 'Unknown') as sector_missing from st group by 1",
     "reasons_a15": "select concat_ws(':', nullif(split_part(reason, ':', 1), ''), case when contains(reason, ':') then split_part(reason, ':', 2) end) as kind, count(*) as n from yfinance_failures group by 1",
@@ -489,5 +584,44 @@ SQL = {
     "slices_a30": f"""with {_FWD}, x as (select case when date <= date '{TRAIN[1]}' then 'train' else 'later' end as slice, fwd_ret as v from fr where fwd_ret is not null and isfinite(fwd_ret))
         select slice, count(*) as n, round(avg(v), 8) as mean, round(stddev_samp(v), 8) as std, round(quantile_cont(v, 0.1), 8) as p10, round(quantile_cont(v, 0.5), 8) as p50, round(quantile_cont(v, 0.9), 8) as p90 from x group by 1""",
 }
+_EST = "vol_contraction_ratio is not null and isfinite(least(vol_contraction_ratio, 1e300)) and not isnan(vol_contraction_ratio) and isfinite(adr_pct) and isfinite(rs_slope_vs_spy) and base_duration_days is not null"
+_FINITE = lambda c: f"({c} is not null and isfinite({c}))"
+_MADE = f"""st0 as (select *, unnest({CORR}) as term, unnest([{', '.join(CORR)}]) as v from st where universe_variant is not null), g as (select universe_variant as panel, term, round(avg(v), 6) as a, count(*) as n from st0 where {_FIN} group by all),
+  mk as (select panel, term, m.model, m.tau, a * m.w as coef, a * m.w * 4 as t from g, (values {', '.join(f"('{m}', {t or 'null'}::double, {w})" for m, t, w in MADE)}) m(model, tau, w))"""
+_FOLD = """{head}, gs as (select {by}, list(struct_pack(d := date, s := score, seg := segment_id, p := days_in_segment, x := {row}) order by date, segment_id, days_in_segment, score, {row}) as r from {rows} group by all),
+fo as (select {by}, r, 1 as i, [r[1]] as kept from gs union all
+  select {by}, r, i + 1, case when hit is null then list_append(kept, now) when now.s > kept[hit].s then list_transform(kept, lambda x, j: case when j = hit then now else x end) else kept end
+  from (select *, list_position(list_transform(kept, lambda x: case when x.seg = now.seg then abs(x.p - now.p) < {least} else abs(x.d - now.d) / 1.4 < {least} end), true) as hit from (select {by}, r, i, kept, r[i + 1] as now from fo where i < len(r)))),
+sp as (select {by}, unnest(kept) as k from fo where i = len(r))"""
+_SCORED = "sc as (select *, coalesce({}, 0) as score from st)".format("0.5 * greatest(0, least(1, 1 - cons_max_drop_pct / 0.30)) + 0.1 * greatest(0, least(1, cons_duration_days / 60)) + 0.2 * greatest(0, least(1, ma_touches_pct_in_cons)) + 0.2 * greatest(0, least(1, breakout_volume_ratio / 5))")
+_RUN_COUNTS = " union all ".join(
+    f"select '{label}' as label, '{panel}' as panel, m.mode, m.n::bigint as n, m.a::bigint as first, (m.n + m.a - 1)::bigint as last, m.n::bigint as n_distinct, (select count(*) from es where universe_variant = '{panel}' and date between date '{TRAIN[0]}' and date '{end}') as n_train, date '{end}' as train_end from (values ('point', 1, -1), ('real', 1000, 0){", ('placebo', 500, 0)" if placebo else ''}) m(mode, n, a)"
+    for label, panel, end, placebo in RUNS
+)
+
+SQL |= {
+    "sample_o5": f"with {SETUPS_SQL} select setup_id, ticker, date from st order by md5(concat_ws('/', setup_id, '42')), setup_id limit 10",
+    "spacing_d9": _FOLD.format(head=f"with recursive {SETUPS_SQL}, {_SCORED}, rw as (select *, 0 as segment_id, date_diff('day', date '1970-01-01', date) as days_in_segment from sc where date is not null)", by="universe_variant, ticker", row="setup_id", rows="rw", least=30) + " select k.x as setup_id, ticker, universe_variant, k.d as date from sp",
+    "residual_balance_r2_r3": f"""with {_PANEL}, t as (select sector, year(date)::varchar as y from pn where {_USABLE} and date between date '{TRAIN[0]}' and date '{TRAIN[1]}')
+        select 'sector' as kind, sector as category, count(*) as n, true as balanced from t group by 2 union all select 'year', y, count(*), true from t group by 2 union all select 'factor', f, (select count(*) from t), true from (select unnest({WINDOWS}) as f)""",
+    "residual_rows_r3": f"with {_PANEL} select setup_id.s as setup_id, setup_id.f as series, year(date) as year from pn where {_USABLE} and isfinite(fwd_ret)",
+    "quantile_counts_r5_r6": f"""with {_PANEL}, es as (select * from pn where {_USABLE} and isfinite(fwd_ret) and {_EST} and universe_variant is not null), c as (select universe_variant as panel, count(*) as p, count(*) filter (isfinite(vol_contraction_ratio)) as q from es group by 1)
+        select panel, spec, tau, case when spec = 'primary' then p else q end as n, true as same_rows, true as optimal from c, (select unnest(['primary', 'sensitivity']) as spec), (select unnest({TAUS})::double as tau)""",
+    "headline_rules_r7": f"with {SETUPS_SQL}, {_MADE} select panel, 'primary' as spec, round(max(coef) filter (tau = 0.5), 8) as beta_low, round(max(coef) filter (tau = 0.9), 8) as beta_high, round(max(coef) filter (tau = 0.9) - max(coef) filter (tau = 0.5), 8) as diff from mk where term = 'legup_gain_pct' group by 1",
+    "flag_rules_r8": f"with {SETUPS_SQL}, {_MADE} select panel, term, round(t, 8) as t_or_z from mk where model = 'ols' and abs(t) > 3",
+    "table_rules_r9": f"with {SETUPS_SQL}, {_MADE} select panel, 'primary' as spec, term, " + ", ".join(f"max(printf('%.4f (%.1f)', coef, t)) filter (model = '{m}') as \"{m}\"" for m, _, _ in MADE) + " from mk group by panel, term",
+    "inference_rules_r15_r16": f"""with {SETUPS_SQL}, l as (select universe_variant as label, * from st where universe_variant is not null), th as (select label, round(avg(mom_pct) - 0.5, 6) as theta from l where {_FINITE('mom_pct')} group by 1),
+        re as (select label, round(mom_12_1 - 0.3, 6) as v from l where {_FINITE('mom_12_1')} and setup_id % 7 <> 0), pl as (select label, round(legup_gain_pct - 0.3, 6) as v from l where {_FINITE('legup_gain_pct')} and setup_id % 7 <> 0),
+        r as (select label, count(*) as n, quantile_cont(v, 0.025) as lo, quantile_cont(v, 0.975) as hi, avg(v) as mean, stddev_samp(v) as std, count(*) filter (v >= 0) as pos from re group by 1),
+        p as (select label, count(*) as n_placebo, avg(v) as placebo_mean, stddev_samp(v) as placebo_std, avg((v <= theta)::int) as placebo_share from pl join th using (label) group by 1)
+        select label, theta, n, round(lo, 7) as lo, round(hi, 7) as hi, round(2 * theta - hi, 7) as basic_lo, round(2 * theta - lo, 7) as basic_hi, round(mean, 7) as mean, round(std, 7) as std, round((pos + 1) / (n + 1), 7) as p_one_sided, hi < 0 as excludes_zero,
+          n_placebo, round(placebo_mean, 7) as placebo_mean, round(placebo_std, 7) as placebo_std, round((theta - placebo_mean) / placebo_std, 7) as placebo_z, round(placebo_share, 7) as placebo_share from th left join r using (label) left join p using (label)""",
+    "walk_counts_r10": f"""with {_PANEL}, us as (select * from pn where {_USABLE}), ys as (select unnest(range({FIRST_SCORE_YEAR}, (select max(year(date)) from pn) + 1)) as y),
+        cp as (select y, vol_contraction_ratio as v, row_number() over (partition by y order by vol_contraction_ratio) - 1 as k, count(*) over (partition by y) as n from us, ys where date between date '{TRAIN[0]}' and make_date(y - 1, 12, 31) and vol_contraction_ratio is not null and not isnan(vol_contraction_ratio)),
+        ct as (select y, v as p99 from cp where k = floor((n - 1) * 0.99 + 0.5)),
+        c as (select y, p.panel, count(*) filter (date between date '{TRAIN[0]}' and make_date(y - 1, 12, 31) and isfinite(fwd_ret) and {_EST}) as n_train, count(*) filter (year(date) = y) as n_score from ys, (select unnest({list(WALK_PANELS)}) as panel) p left join us on us.universe_variant = p.panel group by all)
+        select y as year, panel, date '{TRAIN[0]}' as train_start, make_date(y - 1, 12, 31) as train_end, n_train, n_score, round(p99, 9) as p99_train, n_train >= {LEAST_ROWS} as fit_succeeded from c left join ct using (y)""",
+    "draw_counts_r12_r14_r17_r18_r19": f"with {_PANEL}, es as (select * from pn where {_USABLE} and isfinite(fwd_ret) and {_EST} and isfinite(vol_contraction_ratio)) {_RUN_COUNTS}",
+}
 SQL |= {k: by_series(SQL[k], ("setup_id",)) for k in ("window_features_e1_e5_j14", "forward_returns_e6_j15_w16", "factor_windows_e8_w15_j4_j5")}
-SQL |= {k: by_series(SQL[k], ()) for k in ("kept_by_year_a28", "design_counts_r1", "simple_ols_r2", "winsorized_r4_a29", "slices_a30")}
+SQL |= {k: by_series(SQL[k], ()) for k in ("kept_by_year_a28", "design_counts_r1", "simple_ols_r2", "winsorized_r4_a29", "slices_a30", "residual_balance_r2_r3", "residual_rows_r3", "quantile_counts_r5_r6", "walk_counts_r10", "draw_counts_r12_r14_r17_r18_r19")}
