@@ -287,9 +287,9 @@ def test_quantile_regression_is_optimal(spark):
         assert all(best <= quantreg.check_loss(y - x @ (b + rng.normal(0, s, 3)), tau) + 1e-4 for s in (0.001, 0.01, 0.1) for _ in range(30))
         assert abs(np.mean(y - x @ b < 0) - tau) < 0.02
     df = spark.createDataFrame([(float(a), float(b), float(c)) for (_, a, b), c in zip(x, y)], "a double, b double, y double")
-    far, used = quantreg.distributed_fit(df, ["a", "b"], "y", 0.9, max_iter=12)
-    near, _ = quantreg.solve(x, y, 0.9, max_iter=12)
-    assert used == 12 and np.allclose(far, near, atol=1e-6)  # the same steps
+    far, used = quantreg.distributed_fit(df, ["a", "b"], "y", 0.9, max_iter=60)
+    near, _ = quantreg.solve(x, y, 0.9)
+    assert used <= 60 and np.allclose(far, near, atol=1e-6)  # two methods, one optimum
 
 
 def test_grid_bootstrap_and_inference(spark):
