@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 
 DIR = "/root/testdata/sf0.001"
 CORE = sorted(k for m in entry._modules() if ".llm" not in m.__name__ for k in m.QUERIES)
-SLOW = {"flags_r8", "coefficient_table_r9", "bands_k7", "headline_r7", "walk_forward_r10", "sign_trend_r11", "bootstrap_r12_r14_r17", "inference_r15_r16", "estimation_grid_r5_r6", "residuals_r3", "winsorized_r4_a29", "ols_r2", "setups_d9_d13", "p3_reasons"}
+SLOW = {"walk_counts_r10", "draw_counts_r12_r14_r17_r18_r19", "quantile_counts_r5_r6", "residual_slices_a30", "residual_balance_r2_r3", "residual_rows_r3", "flags_r8", "coefficient_table_r9", "bands_k7", "headline_r7", "walk_forward_r10", "sign_trend_r11", "bootstrap_r12_r14_r17", "inference_r15_r16", "estimation_grid_r5_r6", "residuals_r3", "winsorized_r4_a29", "ols_r2", "setups_d9_d13", "p3_reasons"}
 
 
 @pytest.mark.parametrize("name", [n for n in CORE if n not in SLOW])

@@ -386,11 +386,12 @@ def _made_coefs(spark: SparkSession, d: str) -> DataFrame:
     s = setups(spark, d).filter(F.col("universe_variant").isNotNull())
     terms = F.explode(F.array(*[F.struct(F.lit(c).alias("term"), F.col(c).cast("double").alias("v")) for c in CORR])).alias("t")
     models = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(t).cast("double").alias("tau"), F.lit(w).alias("w")) for m, t, w in MADE])).alias("m")
-    g = s.select("universe_variant", terms).filter(finite("t.v")).groupBy(F.col("universe_variant").alias("panel"), "t.term").agg(F.round(F.avg("t.v"), 6).alias("a"), F.count(F.lit(1)).alias("n"))
+    g = s.select("universe_variant", terms).filter(finite("t.v")).groupBy(F.col("universe_variant").alias("panel"), "t.term").agg(F.round(F.avg("t.v"), 12).alias("a"), F.count(F.lit(1)).alias("n"))
     return g.select("panel", F.lit("primary").alias("spec"), "term", models, "a", "n").select("panel", "spec", "m.model", "m.tau", "term", (F.col("a") * F.col("m.w")).alias("coef"), F.lit(0.25).alias("std_err"), (F.col("a") * F.col("m.w") * 4).alias("t_or_z"), "n")
 
 
-MADE = (("ols", None, 4.0), ("qr_0.5", 0.5, 1.0), ("qr_0.9", 0.9, 3.0))
+#: model, tau and weight; the weights are a little off whole numbers, so that no cell of the text table is a tie to be rounded
+MADE = (("ols", None, 4.000001), ("qr_0.5", 0.5, 1.000001), ("qr_0.9", 0.9, 3.000001))
 
 
 def headline_rules_r7(spark: SparkSession, d: str) -> DataFrame:
@@ -586,7 +587,7 @@ SQL = {
 }
 _EST = "vol_contraction_ratio is not null and isfinite(least(vol_contraction_ratio, 1e300)) and not isnan(vol_contraction_ratio) and isfinite(adr_pct) and isfinite(rs_slope_vs_spy) and base_duration_days is not null"
 _FINITE = lambda c: f"({c} is not null and isfinite({c}))"
-_MADE = f"""st0 as (select *, unnest({CORR}) as term, unnest([{', '.join(CORR)}]) as v from st where universe_variant is not null), g as (select universe_variant as panel, term, round(avg(v), 6) as a, count(*) as n from st0 where {_FIN} group by all),
+_MADE = f"""st0 as (select *, unnest({CORR}) as term, unnest([{', '.join(CORR)}]) as v from st where universe_variant is not null), g as (select universe_variant as panel, term, round(avg(v), 12) as a, count(*) as n from st0 where {_FIN} group by all),
   mk as (select panel, term, m.model, m.tau, a * m.w as coef, a * m.w * 4 as t from g, (values {', '.join(f"('{m}', {t or 'null'}::double, {w})" for m, t, w in MADE)}) m(model, tau, w))"""
 _FOLD = """{head}, gs as (select {by}, list(struct_pack(d := date, s := score, seg := segment_id, p := days_in_segment, x := {row}) order by date, segment_id, days_in_segment, score, {row}) as r from {rows} group by all),
 fo as (select {by}, r, 1 as i, [r[1]] as kept from gs union all
