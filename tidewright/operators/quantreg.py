@@ -119,16 +119,23 @@ def distributed_fit(df: DataFrame, x: list[str], y: str, tau: float, max_iter: i
             g = gram(rows.withColumn("_w", w), ["const", *x, y], "_w")
             new = np.linalg.lstsq(g[:k, :k], g[:k, k], rcond=None)[0]
             if np.max(np.abs(new - b)) < tol or i > 50 and any(np.max(np.abs(new - s)) < tol * 1e-2 for s in seen):
-                return _vertex(rows, x, y, tau, new), i
+                return _vertex(rows, x, y, tau, new)[0], i
             seen = (seen + [new])[-10:]
             b = new
-        return _vertex(rows, x, y, tau, b), max_iter
+            if i % 10 == 0:  # the plane that the steps tend to may be found long before they arrive
+                exact, optimal = _vertex(rows, x, y, tau, b)
+                if optimal:
+                    return exact, i
+        return _vertex(rows, x, y, tau, b)[0], max_iter
     finally:
         rows.unpersist()
 
 
-def _vertex(rows: DataFrame, x: list[str], y: str, tau: float, b: np.ndarray) -> np.ndarray:
-    """The plane through the rows nearest to that of ``b``, if its check loss is no higher: an exact optimum is such a plane."""
+def _vertex(rows: DataFrame, x: list[str], y: str, tau: float, b: np.ndarray) -> tuple[np.ndarray, bool]:
+    """The plane through the rows nearest to that of ``b``, if its check loss is no higher (else b), and whether it is an optimum.
+
+    It is one if the slopes of the loss of all other rows are balanced by weights of tau - 1 .. tau on the rows that the plane goes through.
+    """
     k, r = len(b), _residual(x, y, b)
     near = np.array([list(v) for v in rows.orderBy(F.abs(r), *x, y).select("const", *x, y).limit(8 * k).collect()])
     chosen: list[int] = []
@@ -136,11 +143,18 @@ def _vertex(rows: DataFrame, x: list[str], y: str, tau: float, b: np.ndarray) ->
         if np.linalg.matrix_rank(near[[*chosen, i], :k]) > len(chosen):
             chosen.append(i)
     if len(chosen) < k:
-        return b
-    exact = np.linalg.solve(near[chosen, :k], near[chosen, k])
+        return b, False
+    through = near[chosen, :k]
+    exact = np.linalg.solve(through, near[chosen, k])
     loss = lambda e: F.sum(F.when(e < 0, tau - 1).otherwise(tau) * e)
-    old, new = rows.agg(loss(r), loss(_residual(x, y, exact))).first()
-    return exact if new <= old else b
+    e = _residual(x, y, exact)
+    far = F.abs(e) > 1e-9 * (1 + F.abs(F.col(y)))
+    slopes = [F.sum(F.when(far, F.when(e < 0, tau - 1).otherwise(tau) * F.col(c)).otherwise(0.0)) for c in ("const", *x)]
+    old, new, *slope = rows.agg(loss(r), loss(e), *[g.alias(f"g{i}") for i, g in enumerate(slopes)]).first()
+    if new > old:
+        return b, False
+    weights = np.linalg.solve(through.T, -np.array(slope))
+    return exact, bool(np.all((weights >= tau - 1 - 1e-9) & (weights <= tau + 1e-9)))
 
 
 def _residual(x: list[str], y: str, b: np.ndarray) -> Column:
