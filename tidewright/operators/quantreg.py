@@ -1,7 +1,7 @@
 """Quantile regression, walk-forward refits and the stationary block bootstrap.
 
 Panels of up to MOST_ROWS rows are fitted by a numpy kernel, one group per task: an interior-point method on the dual linear program (a
-primal-dual path with predictor and corrector steps, after Portnoy and Koenker, 1997), some twenty steps of k x k systems.  ``distributed_fit`` takes iteratively
+primal-dual path with predictor and corrector steps, after Portnoy and Koenker, 1997), some twenty steps of k x k systems.  Resamples of a panel are solved near the panel's plane only.  ``distributed_fit`` takes iteratively
 reweighted least squares instead, whose steps are weighted Gram blocks summed in the cluster, for any number of rows.
 """
 
@@ -33,21 +33,33 @@ def _longest(v: np.ndarray, dv: np.ndarray) -> float:
 
 
 def solve(x: np.ndarray, y: np.ndarray, tau: float, max_iter: int = 1000, tol: float = 1e-10) -> tuple[np.ndarray, int]:
-    """Coefficients of the tau-quantile of y on x, and the iterations used (max_iter if it did not converge).
+    """Coefficients of the tau-quantile of y on x, and the iterations used (max_iter if it did not converge)."""
+    return _interior(x, y, tau, max_iter, tol)[:2]
 
-    The dual program: weights a in 0..1 with x'a = (1 - tau) x'1 that maximise y'a; u = 1 - a.  z and w belong to the bounds a >= 0 and u >= 0, and
+
+def _interior(x: np.ndarray, y: np.ndarray, tau: float, max_iter: int = 1000, tol: float = 1e-10, weights: np.ndarray | None = None, start: np.ndarray | None = None) -> tuple[np.ndarray, int, np.ndarray]:
+    """As solve(), with the dual weights; ``weights``: how often each row counts, ``start``: coefficients near the solution.
+
+    The dual program: weights a in 0..1 (0..weights) with x'a = (1 - tau) x'1 that maximise y'a; u = 1 - a.  z and w belong to the bounds a >= 0 and u >= 0, and
     the multipliers of the equations are the coefficients.  The gap between both programs ends the search.
     """
-    b = np.linalg.lstsq(x, y, rcond=None)[0]
-    unit = max(float(np.mean(np.abs(y - np.median(y)))), 1e-300)
+    b = np.linalg.lstsq(x, y, rcond=None)[0] if start is None else start
+    off = np.abs(y - np.median(y))
+    unit = max(float(np.average(off, weights=weights)), 1e-300)
     y = y / unit
     b = b / unit
-    want = (1 - tau) * x.sum(axis=0)
-    a = np.full(len(y), 1 - tau)
-    u = 1 - a
+    most, total = (np.ones(len(y)), len(y)) if weights is None else (weights, float(weights.sum()))
+    want = (1 - tau) * (x.sum(axis=0) if weights is None else weights @ x)
     r = x @ b - y
-    z = np.maximum(r, 0) + 0.001
-    w = z - r
+    if start is None:
+        z = np.maximum(r, 0) + 0.001
+        w = z - r
+        a = (1 - tau) * most
+    else:  # rows far from the plane begin near the bound that they will end at
+        z = np.maximum(r, 0) + max(float(np.median(np.abs(r))), 1e-12)
+        w = z - r
+        a = most * w / (z + w)
+    u = most - a
 
     def equations(q: np.ndarray, right: np.ndarray) -> np.ndarray:
         m = (x * q[:, None]).T @ x
@@ -58,8 +70,8 @@ def solve(x: np.ndarray, y: np.ndarray, tau: float, max_iter: int = 1000, tol: f
 
     for i in range(1, max_iter + 1):
         gap = float(z @ a + w @ u)
-        if gap < tol * len(y):
-            return b * unit, i
+        if gap < tol * total:
+            return b * unit, i, a
         q = 1 / (z / a + w / u)
         lack = want - x.T @ a
         slack = x @ b - y - z + w  # what the other program's equations lack
@@ -80,7 +92,7 @@ def solve(x: np.ndarray, y: np.ndarray, tau: float, max_iter: int = 1000, tol: f
         step_a, step_z = min(_longest(a, da), _longest(u, -da)), min(_longest(z, dz), _longest(w, dw))
         a, u = a + step_a * da, u - step_a * da
         b, z, w = b + step_z * db, z + step_z * dz, w + step_z * dw
-    return b * unit, max_iter
+    return b * unit, max_iter, a
 
 
 def check_loss(r: np.ndarray, tau: float) -> float:
@@ -276,16 +288,158 @@ def coefficient_table(coefs: DataFrame, models: list[str]) -> DataFrame:
 
 def block_indices(n: int, mean_length: float, rng: np.random.Generator) -> np.ndarray:
     """n positions of a stationary block resample: uniform starts, geometric lengths, wrapped around the end."""
-    out = np.empty(n, dtype=np.int64)
-    at = 0
-    while at < n:
-        take = min(int(rng.geometric(1.0 / mean_length)), n - at)
-        out[at : at + take] = (int(rng.integers(n)) + np.arange(take)) % n
-        at += take
-    return out
+    lengths = starts = np.empty(0, dtype=np.int64)
+    while (have := int(lengths.sum())) < n:
+        more = int((n - have) / mean_length * 1.1) + 16
+        lengths, starts = np.r_[lengths, rng.geometric(1.0 / mean_length, more)], np.r_[starts, rng.integers(n, size=more)]
+    ends = np.cumsum(lengths)
+    last = int(np.searchsorted(ends, n)) + 1
+    first = np.r_[0, ends[: last - 1]]
+    return (np.repeat(starts[:last] - first, np.minimum(ends[:last], n) - first) + np.arange(n)) % max(n, 1)
+
+
+def _corner(x: np.ndarray, y: np.ndarray, tau: float, weights: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """The plane through the rows whose dual weights ``a`` are off their bounds, if it is an optimum; else b."""
+    k = x.shape[1]
+    inside = np.minimum(a, weights - a) / weights
+    on = np.argpartition(-inside, k - 1)[:k]
+    try:
+        exact = np.linalg.solve(x[on], y[on])
+        above = y > x @ exact
+        above[on] = False
+        dual = np.linalg.solve(x[on].T, (1 - tau) * (weights @ x) - (weights * above) @ x)
+    except np.linalg.LinAlgError:
+        return b
+    slack = 1e-7 * weights[on]
+    return exact if np.all((dual >= -slack) & (dual <= weights[on] + slack)) else b
+
+
+class _Resamples:
+    """Fits of resamples of a panel, each the optimum on all its rows.
+
+    Most rows of a resample stay on their side of the panel's own plane ``at``.  Those further from it than a radius are put together, one row of their sums a side (the
+    check loss of such a row is theirs as long as none changes sides), and the rows near it are solved for (after Portnoy and Koenker, 1997, and Chernozhukov,
+    Fernandez-Val and Melly, 2020).  |x'd| <= |x white| |root d| proves that none has changed sides; else the radius grows, up to all rows.  Of the near rows, those far
+    from the plane that one Newton step gives are put together too, until no sign among the near rows differs.
+    With ``column`` the planes are those without that column, whose values may be dealt anew.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, planes: dict[float, np.ndarray], column: int | None = None, max_iter: int = 5000):
+        n, k = x.shape
+        self.rows, self.planes, self.column, self.max_iter = np.column_stack([x, y, np.ones(n)]), planes, column, max_iter
+        self.middle = float(x[:, column].mean()) if column is not None and np.all(x[:, 0] == 1) else 0.0
+        rest = [i for i in range(k) if i != column]
+        self.root, white = _metric(x[:, rest])
+        self.rest, self.size = rest, 1.0
+        self.reach = ((x[:, rest] @ white) ** 2).sum(axis=1)
+        own = 0.0
+        if column is not None:
+            self.size = float(np.sqrt(np.mean((x[:, column] - self.middle) ** 2))) or 1.0
+            own = ((x[:, column] - self.middle) / self.size) ** 2
+        self.r = {tau: y - x @ b for tau, b in planes.items()}
+        self.radius, self.side, self.bend = {}, {}, {}
+        first = min(n, int(5 * math.sqrt(k * n)) + 50) - 1
+        for tau, r in self.r.items():
+            with np.errstate(divide="ignore", invalid="ignore"):
+                far = np.nan_to_num(np.abs(r) / np.sqrt(self.reach + own), nan=np.inf)
+            self.radius[tau] = float(np.partition(far, first)[first])
+            near = far <= self.radius[tau]
+            # rows within a width, over that width, estimate the density on the plane: how the slopes of the loss change with it
+            width = 2 * self.radius[tau] * np.sqrt(self.reach + own)[near]
+            self.bend[tau] = np.linalg.pinv((x[near] / np.maximum(width, 1e-300)[:, None]).T @ x[near])
+            if column is None:
+                self.side[tau] = np.flatnonzero(near), self.rows * ((r > 0) & ~near)[:, None]
+
+    def moved(self, tau: float, b: np.ndarray) -> float:
+        """|root d| of b and the panel's plane."""
+        d = b - self.planes[tau]
+        if self.column is None:
+            return float(np.linalg.norm(self.root @ d))
+        own = d[self.column]
+        d[0] += self.middle * own if self.column else 0.0
+        return float(np.hypot(np.linalg.norm(self.root @ d[self.rest]), self.size * own))
+
+    def fit(self, tau: float, at: np.ndarray, dealt: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+        """Coefficients and iterations on the rows ``at``, with the values ``dealt`` in the column if it has one."""
+        radius, r = self.radius[tau], self.r[tau]
+        count = np.bincount(at, minlength=len(r)).astype(float)
+        total = count @ self.rows
+        if dealt is not None:
+            c, total[self.column] = self.column, dealt.sum()
+            r, reach = r[at], self.reach[at] + ((dealt - self.middle) / self.size) ** 2
+        while True:
+            if dealt is not None:
+                far = r * r > radius * radius * reach
+                i = np.flatnonzero(~far)
+                near, weights, size = self.rows[at[i]], np.ones(len(i)), reach[i]
+                near[:, c] = dealt[i]
+                up = far & (r > 0)
+                above = np.bincount(at[up], minlength=len(count)) @ self.rows
+                above[c] = dealt[up].sum()
+            else:
+                if radius == self.radius[tau]:
+                    i, up = self.side[tau]
+                else:
+                    far = r * r > radius * radius * self.reach
+                    i, up = np.flatnonzero(~far), self.rows * (far & (r > 0))[:, None]
+                i, above = i[count[i] > 0], count @ up
+                near, weights, size = self.rows[i], count[i], self.reach[i]
+            below = total - above - weights @ near
+            k = len(total) - 2
+            plane = self.planes[tau]
+            up = near[:, k] > near[:, :k] @ plane
+            slope = tau * total[:k] - below[:k] - (weights * ~up) @ near[:, :k]
+            b, used = self._among(tau, near, weights, np.sqrt(size), above, below, plane + self.bend[tau] @ slope)
+            moved = self.moved(tau, b)
+            if moved < radius or above[-1] + below[-1] < 0.5:
+                return b, used
+            radius = max(2 * radius, 1.3 * moved) if used < self.max_iter else math.inf
+
+    def _among(self, tau: float, near: np.ndarray, weights: np.ndarray, size: np.ndarray, above: np.ndarray, below: np.ndarray, guess: np.ndarray) -> tuple[np.ndarray, int]:
+        """Coefficients and iterations on rows near the plane and the sums of the others; ``guess``: about the plane sought, ``size``: how far the rows lie out."""
+        k = len(guess)
+        x, y = np.ascontiguousarray(near[:, :k]), near[:, k]
+        off = y - x @ guess
+        up = off > 0
+        keep = np.ones(len(y), dtype=bool)
+        few = max(FEW_ROWS, len(y) // 4)
+        if few < len(y):
+            off = np.abs(off) / np.maximum(size, 1e-300)
+            keep = off <= np.partition(off, few)[few]
+        while True:
+            sums = [a + (weights * m) @ near for a, m in ((above, up & ~keep), (below, ~up & ~keep))]
+            sums = np.array([s for s in sums if s[-1] > 0.5]).reshape(-1, k + 2)
+            xx, yy, ww = np.vstack([x[keep], sums[:, :k] / sums[:, -1:]]), np.r_[y[keep], sums[:, k] / sums[:, -1]], np.r_[weights[keep], sums[:, -1]]
+            b, used, a = _interior(xx, yy, tau, self.max_iter, weights=ww, start=guess)
+            if used < self.max_iter:
+                b = _corner(xx, yy, tau, ww, b, a)
+            now = y - x @ b
+            wrong = ~keep & ((now > 0) != up)
+            if not wrong.any():
+                return b, used
+            keep |= wrong | (off <= 2 * off[wrong].min())
+
+
+def _metric(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """root and white, with |x'd| <= |x white| |root d| for the rows of x; raises LinAlgError if columns are collinear."""
+    scale = np.sqrt(np.mean(x * x, axis=0))
+    scale[scale == 0] = 1.0
+    values, vectors = np.linalg.eigh((x / scale).T @ (x / scale) / len(x))
+    if values[0] < 1e-10 * values[-1]:
+        raise np.linalg.LinAlgError("collinear columns")
+    return (vectors * np.sqrt(values)).T * scale, vectors / np.sqrt(values) / scale[:, None]
+
+
+def _plane(x: np.ndarray, y: np.ndarray, tau: float, max_iter: int) -> tuple[np.ndarray, int]:
+    """As solve(), for many rows: from the plane of evenly spaced rows."""
+    step = len(y) // (1000 + int(len(y) ** (2 / 3)))
+    if step < 2:
+        return solve(x, y, tau, max_iter)
+    return _Resamples(x, y, {tau: solve(x[::step], y[::step], tau, max_iter)[0]}, max_iter=max_iter).fit(tau, np.arange(len(y)))
 
 
 DRAW_SCHEMA = "label string, mode string, draw_idx bigint, diff double, beta_50 double, beta_90 double, converged boolean"
+FEW_ROWS = 500  #: rows of a panel whose draws are fitted whole
 
 
 def bootstrap(spark: SparkSession, x: np.ndarray, y: np.ndarray, draws: dict[str, int], label: str, seed: int, mean_length: float = 30, column: int = 1, max_iter: int = 5000) -> DataFrame:
@@ -296,27 +450,44 @@ def bootstrap(spark: SparkSession, x: np.ndarray, y: np.ndarray, draws: dict[str
     """
     if len(y) > MOST_ROWS:
         raise ValueError(f"more than {MOST_ROWS} rows")
-    shared = spark.sparkContext.broadcast((x, y))
+    taus, planes, rest = (0.5, 0.9), None, [i for i in range(x.shape[1]) if i != column]
+    if len(y) > FEW_ROWS:
+        try:
+            _metric(x)
+            planes = {t: _plane(x, y, t, max_iter) for t in taus}
+            without = {t: np.insert(_plane(x[:, rest], y, t, max_iter)[0], column, 0.0) for t in taus} if draws.get("placebo") else {}
+        except np.linalg.LinAlgError:  # collinear columns: every draw is fitted whole
+            planes = None
+    shared = spark.sparkContext.broadcast((x, y, planes and (planes, without)))
     modes = [("point", 1), *draws.items()]
     tasks = [(m, i) for m, n in modes for i in range(n)]
     todo = spark.range(len(tasks)).repartition(max(1, min(len(tasks), 4 * spark.sparkContext.defaultParallelism)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, y = shared.value
+        x, y, planes = shared.value
+        fits = {}
+
+        def fitted(mode: str, at: np.ndarray, dealt: np.ndarray | None) -> list[tuple[np.ndarray, int]]:
+            if planes is None:
+                xx = x[at]
+                if dealt is not None:
+                    xx[:, column] = dealt
+                return [solve(xx, y[at], t, max_iter) for t in taus]
+            if mode not in fits:
+                fits[mode] = _Resamples(x, y, planes[1], column, max_iter) if dealt is not None else _Resamples(x, y, {t: b for t, (b, _) in planes[0].items()}, max_iter=max_iter)
+            return [fits[mode].fit(t, at, dealt) for t in taus]
+
         for batch in batches:
             rows = []
             for j in batch.column("id").to_pylist():
                 mode, i = tasks[j]
                 if mode == "point":
-                    xx, yy, i = x, y, -1
+                    i = -1
+                    (b5, n5), (b9, n9) = [planes[0][t] for t in taus] if planes else [solve(x, y, t, max_iter) for t in taus]
                 else:
                     rng = np.random.default_rng(np.random.SeedSequence([seed, *label.encode(), len(mode), i]))
                     at = block_indices(len(y), mean_length, rng)
-                    xx, yy = x[at], y[at]
-                    if mode == "placebo":
-                        xx = xx.copy()
-                        xx[:, column] = rng.permutation(xx[:, column])
-                (b5, n5), (b9, n9) = solve(xx, yy, 0.5, max_iter), solve(xx, yy, 0.9, max_iter)
+                    (b5, n5), (b9, n9) = fitted(mode, at, rng.permutation(x[at, column]) if mode == "placebo" else None)
                 rows.append((label, mode, i, float(b9[column] - b5[column]), float(b5[column]), float(b9[column]), n5 < max_iter and n9 < max_iter))
             names = [c.split()[0] for c in DRAW_SCHEMA.split(", ")]
             yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows])

@@ -478,15 +478,24 @@ RUNS = (("canonical", "loose", TRAIN[1], True), ("canonical", "strict", TRAIN[1]
 
 def _draws(spark: SparkSession, d: str, real: int = 1000, placebo: int = 500) -> DataFrame:
     """Draws of all RUNS; label is label/panel."""
-    every, fitted = [], {}
-    for label, panel, end, with_placebo in RUNS:
-        if end not in fitted:
-            fitted[end] = _estimation_rows(spark, d, end)
-        rows = fitted[end].filter((F.col("universe_variant") == panel) & F.col("date").between(F.lit(TRAIN[0]).cast("date"), F.lit(end).cast("date")))
-        pdf = rows.select(*TERMS["primary"], "fwd_ret_resid").orderBy("date", "ticker", "setup_id", "series").limit(quantreg.MOST_ROWS + 1).toPandas()
-        x = np.column_stack([np.ones(len(pdf)), pdf[TERMS["primary"]].to_numpy(float)])
-        draws = quantreg.bootstrap(spark, x, pdf["fwd_ret_resid"].to_numpy(), {"real": real} | ({"placebo": placebo} if with_placebo else {}), f"{label}/{panel}", 20260514)
-        every.append(draws.withColumns({"train_start": F.lit(TRAIN[0]).cast("date"), "train_end": F.lit(end).cast("date"), "n_train": F.lit(len(pdf)).cast("bigint")}))
+    order = ["date", "ticker", "setup_id", "series"]
+    # the panel is made once for all runs, of the columns that they need
+    panel = _panel(spark, d).select(*order, "sector", "universe_variant", "fwd_ret", *WINDOWS, *TERMS["sensitivity"]).persist()
+    every = []
+    try:
+        for end in dict.fromkeys(r[2] for r in RUNS):
+            out, info = stats.residualize(panel, "fwd_ret", WINDOWS, TRAIN[0], end, cap="vol_contraction_ratio")
+            runs = [r for r in RUNS if r[2] == end]
+            rows = out.filter(_estimable() & F.col("universe_variant").isin([r[1] for r in runs]) & F.col("date").between(F.lit(TRAIN[0]).cast("date"), F.lit(end).cast("date")))
+            for label, variant, _, with_placebo in runs:
+                of = rows.filter(F.col("universe_variant") == variant)
+                pdf = of.orderBy(*order).limit(quantreg.MOST_ROWS + 1).select(*TERMS["primary"], "fwd_ret_resid").toPandas()
+                x = np.column_stack([np.ones(len(pdf)), pdf[TERMS["primary"]].to_numpy(float)])
+                draws = quantreg.bootstrap(spark, x, pdf["fwd_ret_resid"].to_numpy(), {"real": real} | ({"placebo": placebo} if with_placebo else {}), f"{label}/{variant}", 20260514)
+                every.append(draws.withColumns({"train_start": F.lit(TRAIN[0]).cast("date"), "train_end": F.lit(end).cast("date"), "n_train": F.lit(len(pdf)).cast("bigint")}))
+            info["rows"].unpersist()
+    finally:
+        panel.unpersist()
     return reduce(DataFrame.unionByName, every)
 
 
