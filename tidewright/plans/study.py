@@ -486,7 +486,8 @@ def _draws(spark: SparkSession, d: str, real: int = 1000, placebo: int = 500) ->
         for end in dict.fromkeys(r[2] for r in RUNS):
             out, info = stats.residualize(panel, "fwd_ret", WINDOWS, TRAIN[0], end, cap="vol_contraction_ratio")
             runs = [r for r in RUNS if r[2] == end]
-            rows = out.filter(_estimable() & F.col("universe_variant").isin([r[1] for r in runs]) & F.col("date").between(F.lit(TRAIN[0]).cast("date"), F.lit(end).cast("date")))
+            # an infinite ratio, which the cap would make finite, is left out as in the SQL
+            rows = out.filter(_estimable() & finite("vol_contraction_ratio") & F.col("universe_variant").isin([r[1] for r in runs]) & F.col("date").between(F.lit(TRAIN[0]).cast("date"), F.lit(end).cast("date")))
             for label, variant, _, with_placebo in runs:
                 of = rows.filter(F.col("universe_variant") == variant)
                 pdf = of.orderBy(*order).limit(quantreg.MOST_ROWS + 1).select(*TERMS["primary"], "fwd_ret_resid").toPandas()
