@@ -4,6 +4,7 @@ import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewright.operators import quantreg
 from tidewright.plans import study
@@ -31,3 +32,12 @@ def test_draw_counts_make_the_panel_once(spark, made):
     n = {"loose": 203, "strict": 102}
     assert {k: v[:4] for k, v in got.items() if k[0] == "canonical"} == {("canonical", p, m): v for p in n for m, v in (("point", (1, -1, -1, 1)), ("real", (10, 0, 9, 10)), ("placebo", (5, 0, 4, 5)))}
     assert all(v[4] == n[p] for (label, p, _), v in got.items() if label == "canonical") and got["exploratory", "loose", "real"] == (10, 0, 9, 10, 320)
+
+
+def test_inference_reads_one_panel_and_lets_go_of_it(spark, made):
+    spark.catalog.clearCache()
+    rows = {(r.label, r.panel): r for r in study.inference_r15_r16(spark, "").collect()}
+    assert len(made) == 1 and spark.sparkContext._jsc.getPersistentRDDs().size() <= 1  # the draws, which are read three times
+    draws = study.bootstrap_r12_r14_r17(spark, "").filter(F.col("mode") == "real").groupBy("label", "panel").agg(F.avg("diff").alias("mean"), F.count("*").alias("n")).collect()
+    assert len(draws) == len(rows) == 3 and all(rows[d.label, d.panel].n == d.n == 10 and rows[d.label, d.panel]["mean"] == pytest.approx(d["mean"]) for d in draws)
+    spark.catalog.clearCache()
