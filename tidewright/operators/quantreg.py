@@ -28,8 +28,8 @@ NEAR = 1e-4  #: standard deviations of y within which a row lies on the fitted p
 
 def _longest(v: np.ndarray, dv: np.ndarray) -> float:
     """The share of the step dv, at most 1, that keeps v above zero."""
-    down = dv < 0
-    return min(1.0, 0.99995 * float(np.min(-v[down] / dv[down]))) if down.any() else 1.0
+    least = float(np.min(dv / v))
+    return min(1.0, -0.99995 / least) if least < 0 else 1.0
 
 
 def solve(x: np.ndarray, y: np.ndarray, tau: float, max_iter: int = 1000, tol: float = 1e-10) -> tuple[np.ndarray, int]:
@@ -55,10 +55,10 @@ def _interior(x: np.ndarray, y: np.ndarray, tau: float, max_iter: int = 1000, to
         z = np.maximum(r, 0) + 0.001
         w = z - r
         a = (1 - tau) * most
-    else:  # rows far from the plane begin near the bound that they will end at
-        z = np.maximum(r, 0) + max(float(np.median(np.abs(r))), 1e-12)
+    else:  # the weights meet their equations from the beginning, as rows that stand for many would not let them be met later
+        z = np.maximum(r, 0) + max(0.1 * float(np.mean(np.abs(r))), 1e-12)
         w = z - r
-        a = most * w / (z + w)
+        a = (1 - tau) * most
     u = most - a
 
     def equations(q: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -72,6 +72,8 @@ def _interior(x: np.ndarray, y: np.ndarray, tau: float, max_iter: int = 1000, to
         gap = float(z @ a + w @ u)
         if gap < tol * total:
             return b * unit, i, a
+        if not math.isfinite(gap):  # no later step would be of use
+            break
         q = 1 / (z / a + w / u)
         lack = want - x.T @ a
         slack = x @ b - y - z + w  # what the other program's equations lack
@@ -286,8 +288,8 @@ def coefficient_table(coefs: DataFrame, models: list[str]) -> DataFrame:
     return coefs.withColumn("cell", cell).groupBy("panel", "spec", "term").pivot("model", models).agg(F.first("cell"))
 
 
-def block_indices(n: int, mean_length: float, rng: np.random.Generator) -> np.ndarray:
-    """n positions of a stationary block resample: uniform starts, geometric lengths, wrapped around the end."""
+def _blocks(n: int, mean_length: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths, n in all, of the blocks of a stationary block resample: uniform starts, geometric lengths; a block may run over the end."""
     lengths = starts = np.empty(0, dtype=np.int64)
     while (have := int(lengths.sum())) < n:
         more = int((n - have) / mean_length * 1.1) + 16
@@ -295,7 +297,17 @@ def block_indices(n: int, mean_length: float, rng: np.random.Generator) -> np.nd
     ends = np.cumsum(lengths)
     last = int(np.searchsorted(ends, n)) + 1
     first = np.r_[0, ends[: last - 1]]
-    return (np.repeat(starts[:last] - first, np.minimum(ends[:last], n) - first) + np.arange(n)) % max(n, 1)
+    return starts[:last], np.minimum(ends[:last], n) - first
+
+
+def _positions(n: int, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The n positions of blocks, wrapped around the end."""
+    return (np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(n)) % max(n, 1)
+
+
+def block_indices(n: int, mean_length: float, rng: np.random.Generator) -> np.ndarray:
+    """n positions of a stationary block resample: uniform starts, geometric lengths, wrapped around the end."""
+    return _positions(n, *_blocks(n, mean_length, rng))
 
 
 def _corner(x: np.ndarray, y: np.ndarray, tau: float, weights: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
@@ -314,13 +326,50 @@ def _corner(x: np.ndarray, y: np.ndarray, tau: float, weights: np.ndarray, b: np
     return exact if np.all((dual >= -slack) & (dual <= weights[on] + slack)) else b
 
 
+class _Resample:
+    """A resample as stretches first..last - 1 of rows; if a column is dealt anew also its rows ``at``, with the values ``dealt``."""
+
+    def __init__(self, first: np.ndarray, last: np.ndarray, at: np.ndarray | None = None, dealt: np.ndarray | None = None):
+        self.first, self.last, self.at, self.dealt = first, last, at, dealt
+        self.firsts, self.lasts = np.sort(first), np.sort(last)
+        self.total: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, at: np.ndarray, dealt: np.ndarray | None = None) -> _Resample:
+        cut = np.flatnonzero(np.diff(at) != 1)
+        return cls(at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]] + 1, at, dealt)
+
+    @classmethod
+    def of_blocks(cls, n: int, starts: np.ndarray, lengths: np.ndarray, at: np.ndarray | None = None, dealt: np.ndarray | None = None) -> _Resample:
+        first, last = starts, starts + lengths
+        while (over := last > n).any():
+            first, last = np.r_[first, np.zeros(over.sum(), dtype=np.int64)], np.r_[np.minimum(last, n), last[over] - n]
+        return cls(first, last, at, dealt)
+
+    def counts(self, i: np.ndarray) -> np.ndarray:
+        """How often each row of i is there."""
+        return (np.searchsorted(self.firsts, i, "right") - np.searchsorted(self.lasts, i, "right")).astype(float)
+
+    def sums(self, running: np.ndarray) -> np.ndarray:
+        """Sums over the rows, from running sums over the panel."""
+        return (running[self.last] - running[self.first]).sum(axis=0)
+
+
+def _running(rows: np.ndarray, where: np.ndarray | None = None) -> np.ndarray:
+    """Sums of the rows (those ``where``) before each row, and of all."""
+    out = np.zeros((len(rows) + 1, rows.shape[1]))
+    np.cumsum(rows if where is None else rows * where[:, None], axis=0, out=out[1:])
+    return out
+
+
 class _Resamples:
     """Fits of resamples of a panel, each the optimum on all its rows.
 
     Most rows of a resample stay on their side of the panel's own plane ``at``.  Those further from it than a radius are put together, one row of their sums a side (the
     check loss of such a row is theirs as long as none changes sides), and the rows near it are solved for (after Portnoy and Koenker, 1997, and Chernozhukov,
     Fernandez-Val and Melly, 2020).  |x'd| <= |x white| |root d| proves that none has changed sides; else the radius grows, up to all rows.  Of the near rows, those far
-    from the plane that one Newton step gives are put together too, until no sign among the near rows differs.
+    from the plane that one Newton step gives are put together too, until no sign among the near rows differs; each further search begins at the plane found last.
+    The sums of a resample are differences of running sums over its blocks, so that a draw costs its blocks and near rows, not all rows.
     With ``column`` the planes are those without that column, whose values may be dealt anew.
     """
 
@@ -332,23 +381,30 @@ class _Resamples:
         self.root, white = _metric(x[:, rest])
         self.rest, self.size = rest, 1.0
         self.reach = ((x[:, rest] @ white) ** 2).sum(axis=1)
-        own = 0.0
+        own = most_own = 0.0
         if column is not None:
             self.size = float(np.sqrt(np.mean((x[:, column] - self.middle) ** 2))) or 1.0
             own = ((x[:, column] - self.middle) / self.size) ** 2
+            most_own = float(own.max())
         self.r = {tau: y - x @ b for tau, b in planes.items()}
-        self.radius, self.side, self.bend = {}, {}, {}
+        self.radius, self.far, self.bend, self.nearest = {}, {}, {}, {}
+        self.running, self.running_up = _running(self.rows), {tau: _running(self.rows, r > 0) for tau, r in self.r.items()}
         first = min(n, int(5 * math.sqrt(k * n)) + 50) - 1
+        span = np.sqrt(self.reach + own)
         for tau, r in self.r.items():
-            with np.errstate(divide="ignore", invalid="ignore"):
-                far = np.nan_to_num(np.abs(r) / np.sqrt(self.reach + own), nan=np.inf)
+            far = self._over(r, span)
             self.radius[tau] = float(np.partition(far, first)[first])
             near = far <= self.radius[tau]
             # rows within a width, over that width, estimate the density on the plane: how the slopes of the loss change with it
-            width = 2 * self.radius[tau] * np.sqrt(self.reach + own)[near]
+            width = 2 * self.radius[tau] * span[near]
             self.bend[tau] = np.linalg.pinv((x[near] / np.maximum(width, 1e-300)[:, None]).T @ x[near])
-            if column is None:
-                self.side[tau] = np.flatnonzero(near), self.rows * ((r > 0) & ~near)[:, None]
+            # the least radius within which a row may lie, whatever is dealt to it
+            self.far[tau] = far if column is None else self._over(r, np.sqrt(self.reach + most_own))
+
+    @staticmethod
+    def _over(r: np.ndarray, span: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.nan_to_num(np.abs(r) / span, nan=np.inf)
 
     def moved(self, tau: float, b: np.ndarray) -> float:
         """|root d| of b and the panel's plane."""
@@ -359,65 +415,122 @@ class _Resamples:
         d[0] += self.middle * own if self.column else 0.0
         return float(np.hypot(np.linalg.norm(self.root @ d[self.rest]), self.size * own))
 
-    def fit(self, tau: float, at: np.ndarray, dealt: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+    def _near(self, tau: float, radius: float) -> tuple[np.ndarray, ...]:
+        """The panel's rows within the radius: positions, equal rows side by side, where each different row begins, these rows, their spans, which are above; with a column flags of all rows."""
+        if (tau, radius) not in self.nearest:
+            flags = self.far[tau] <= radius
+            if self.column is None:
+                i = np.flatnonzero(flags)
+                # equal rows have equal sums; those that are equal by chance are told apart below
+                i = i[np.argsort((self.rows[i] * np.sqrt(np.arange(2, self.rows.shape[1] + 2))).sum(axis=1), kind="stable")]
+                begin = np.flatnonzero(np.r_[True, (self.rows[i[1:]] != self.rows[i[:-1]]).any(axis=1)]) if len(i) else i
+                first = i[begin]
+                self.nearest[tau, radius] = i, begin, self.rows[first], np.sqrt(self.reach[first]), self.r[tau][first] > 0
+            else:
+                self.nearest[tau, radius] = (flags,)
+        return self.nearest[tau, radius]
+
+    def fit(self, tau: float, at: np.ndarray | _Resample, dealt: np.ndarray | None = None) -> tuple[np.ndarray, int]:
         """Coefficients and iterations on the rows ``at``, with the values ``dealt`` in the column if it has one."""
-        radius, r = self.radius[tau], self.r[tau]
-        count = np.bincount(at, minlength=len(r)).astype(float)
-        total = count @ self.rows
-        if dealt is not None:
-            c, total[self.column] = self.column, dealt.sum()
-            r, reach = r[at], self.reach[at] + ((dealt - self.middle) / self.size) ** 2
+        drawn = at if isinstance(at, _Resample) else _Resample.of(at, dealt)
+        radius, r, k, c = self.radius[tau], self.r[tau], len(self.planes[tau]), self.column
+        if drawn.total is None:
+            drawn.total = drawn.sums(self.running)
+            if drawn.dealt is not None:
+                drawn.total[c] = drawn.dealt.sum()
+        total, up_total = drawn.total, drawn.sums(self.running_up[tau])
+        if drawn.dealt is not None:
+            up_total[c] = drawn.dealt @ (r > 0).astype(float)[drawn.at]
+        guess = None
         while True:
-            if dealt is not None:
-                far = r * r > radius * radius * reach
-                i = np.flatnonzero(~far)
-                near, weights, size = self.rows[at[i]], np.ones(len(i)), reach[i]
-                near[:, c] = dealt[i]
-                up = far & (r > 0)
-                above = np.bincount(at[up], minlength=len(count)) @ self.rows
-                above[c] = dealt[up].sum()
+            if drawn.dealt is not None:
+                j = np.flatnonzero(self._near(tau, radius)[0][drawn.at])
+                i, values = drawn.at[j], drawn.dealt[j]
+                reach = self.reach[i] + ((values - self.middle) / self.size) ** 2
+                ok = ~(r[i] * r[i] > radius * radius * reach)
+                i, size = i[ok], np.sqrt(reach[ok])
+                near, weights, up = self.rows[i], np.ones(len(i)), r[i] > 0
+                near[:, c] = values[ok]
             else:
-                if radius == self.radius[tau]:
-                    i, up = self.side[tau]
-                else:
-                    far = r * r > radius * radius * self.reach
-                    i, up = np.flatnonzero(~far), self.rows * (far & (r > 0))[:, None]
-                i, above = i[count[i] > 0], count @ up
-                near, weights, size = self.rows[i], count[i], self.reach[i]
-            below = total - above - weights @ near
-            k = len(total) - 2
-            plane = self.planes[tau]
-            up = near[:, k] > near[:, :k] @ plane
-            slope = tau * total[:k] - below[:k] - (weights * ~up) @ near[:, :k]
-            b, used = self._among(tau, near, weights, np.sqrt(size), above, below, plane + self.bend[tau] @ slope)
-            moved = self.moved(tau, b)
-            if moved < radius or above[-1] + below[-1] < 0.5:
+                i, begin, near, size, up = self._near(tau, radius)
+                weights = np.add.reduceat(drawn.counts(i), begin) if len(i) else np.zeros(0)
+                there = weights > 0
+                near, weights, size, up = near[there], weights[there], size[there], up[there]
+            inside = weights @ near
+            above = up_total - (weights * up) @ near
+            below = total - above - inside
+            far = above[-1] + below[-1] > 0.5
+            if guess is None:
+                slope = tau * total[:k] - below[:k] - (weights * ~up) @ near[:, :k]
+                guess = self.planes[tau] + self.bend[tau] @ slope
+                if far and 1.3 * self.moved(tau, guess) >= radius:
+                    radius = self._wider(tau, radius, guess)
+                    continue
+            b, used, done = self._among(tau, near, weights, size, above, below, guess, radius if far else math.inf)
+            if done:
                 return b, used
-            radius = max(2 * radius, 1.3 * moved) if used < self.max_iter else math.inf
+            radius, guess = self._wider(tau, radius, b), b
 
-    def _among(self, tau: float, near: np.ndarray, weights: np.ndarray, size: np.ndarray, above: np.ndarray, below: np.ndarray, guess: np.ndarray) -> tuple[np.ndarray, int]:
-        """Coefficients and iterations on rows near the plane and the sums of the others; ``guess``: about the plane sought, ``size``: how far the rows lie out."""
+    def _wider(self, tau: float, radius: float, b: np.ndarray) -> float:
+        """Twice, four times, ... the radius, so that the rows within one are found once, or all rows."""
+        times = 1.3 * self.moved(tau, b) / radius if radius > 0 else math.inf
+        return radius * 2 ** max(1, math.ceil(math.log2(max(times, 1)))) if times < 1e9 else math.inf
+
+    def _among(self, tau: float, near: np.ndarray, weights: np.ndarray, size: np.ndarray, above: np.ndarray, below: np.ndarray, guess: np.ndarray, radius: float) -> tuple[np.ndarray, int, bool]:
+        """Coefficients and iterations on rows near the plane and the sums of the others, and whether they lie within ``radius``, else a better guess at its border.
+
+        ``guess``: about the plane sought, ``size``: how far the rows lie out.  With most rows put together the loss is too low but near the guess, so that the plane found may lie
+        beyond the one sought: the next guess is where the loss of all rows is least on the way there.
+        """
         k = len(guess)
         x, y = np.ascontiguousarray(near[:, :k]), near[:, k]
-        off = y - x @ guess
-        up = off > 0
-        keep = np.ones(len(y), dtype=bool)
-        few = max(FEW_ROWS, len(y) // 4)
-        if few < len(y):
-            off = np.abs(off) / np.maximum(size, 1e-300)
-            keep = off <= np.partition(off, few)[few]
+        size = np.maximum(size, 1e-300)
+        keep = np.zeros(len(y), dtype=bool)
+        off, few = y - x @ guess, FEW_ROWS
         while True:
+            up = off > 0
+            apart = np.abs(off) / size
+            keep |= apart <= np.partition(apart, few)[few] if len(y) > few else True
             sums = [a + (weights * m) @ near for a, m in ((above, up & ~keep), (below, ~up & ~keep))]
             sums = np.array([s for s in sums if s[-1] > 0.5]).reshape(-1, k + 2)
             xx, yy, ww = np.vstack([x[keep], sums[:, :k] / sums[:, -1:]]), np.r_[y[keep], sums[:, k] / sums[:, -1]], np.r_[weights[keep], sums[:, -1]]
-            b, used, a = _interior(xx, yy, tau, self.max_iter, weights=ww, start=guess)
+            b, used, a = _interior(xx, yy, tau, least := min(self.max_iter, 50), weights=ww, start=guess)
+            if used == least:
+                b, used, a = _interior(xx, yy, tau, self.max_iter, weights=ww)
             if used < self.max_iter:
                 b = _corner(xx, yy, tau, ww, b, a)
-            now = y - x @ b
-            wrong = ~keep & ((now > 0) != up)
-            if not wrong.any():
-                return b, used
-            keep |= wrong | (off <= 2 * off[wrong].min())
+            elif radius == math.inf and keep.all():
+                return b, used, True
+            there = self.moved(tau, b)
+            if there < radius and (keep.all() or not (~keep & ((y > x @ b) != up)).any()):
+                return b, used, True
+            few *= 2
+            if not np.isfinite(b).all():
+                if keep.all():
+                    return guess, used, False
+                continue
+            step = self._way(tau, x, weights, off, b - guess, above[:k], below[:k])
+            now = self.moved(tau, guess)
+            most = (radius - now) / (there - now) if there >= radius else 1.0
+            guess = guess + min(step, most) * (b - guess)
+            if step > most or there >= radius and keep.all():
+                return guess, used, False
+            off = y - x @ guess
+
+    @staticmethod
+    def _way(tau: float, x: np.ndarray, weights: np.ndarray, off: np.ndarray, d: np.ndarray, above: np.ndarray, below: np.ndarray) -> float:
+        """The share, at most 1, of the way d from rows ``off`` the plane at which the loss is least."""
+        xd = x @ d
+        up = np.where(off == 0, xd < 0, off > 0)
+        slope = (1 - tau) * (below @ d) - tau * (above @ d) - weights @ (np.where(up, tau, tau - 1) * xd)
+        i = np.flatnonzero((off * xd > 0) & (np.abs(off) < np.abs(xd)))
+        at = off[i] / xd[i]
+        order = np.argsort(at)
+        slopes = slope + np.cumsum((weights[i] * np.abs(xd[i]))[order])
+        if slope >= 0:
+            return 0.0
+        first = int(np.searchsorted(slopes, 0.0))
+        return float(at[order[first]]) if first < len(i) else 1.0
 
 
 def _metric(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -461,21 +574,30 @@ def bootstrap(spark: SparkSession, x: np.ndarray, y: np.ndarray, draws: dict[str
     shared = spark.sparkContext.broadcast((x, y, planes and (planes, without)))
     modes = [("point", 1), *draws.items()]
     tasks = [(m, i) for m, n in modes for i in range(n)]
-    todo = spark.range(len(tasks)).repartition(max(1, min(len(tasks), 4 * spark.sparkContext.defaultParallelism)))
+    # slices of neighbouring draws: most tasks have draws of one mode
+    todo = spark.range(0, len(tasks), 1, max(1, min(len(tasks), 4 * spark.sparkContext.defaultParallelism)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, y, planes = shared.value
         fits = {}
 
-        def fitted(mode: str, at: np.ndarray, dealt: np.ndarray | None) -> list[tuple[np.ndarray, int]]:
+        def fitted(mode: str, starts: np.ndarray, lengths: np.ndarray, rng: np.random.Generator) -> list[tuple[np.ndarray, int]]:
+            if planes and mode == "real":
+                if mode not in fits:
+                    fits[mode] = _Resamples(x, y, {t: b for t, (b, _) in planes[0].items()}, max_iter=max_iter)
+                drawn = _Resample.of_blocks(len(y), starts, lengths)
+                return [fits[mode].fit(t, drawn) for t in taus]
+            at = _positions(len(y), starts, lengths)
+            dealt = rng.permutation(x[at, column]) if mode == "placebo" else None
             if planes is None:
                 xx = x[at]
                 if dealt is not None:
                     xx[:, column] = dealt
                 return [solve(xx, y[at], t, max_iter) for t in taus]
             if mode not in fits:
-                fits[mode] = _Resamples(x, y, planes[1], column, max_iter) if dealt is not None else _Resamples(x, y, {t: b for t, (b, _) in planes[0].items()}, max_iter=max_iter)
-            return [fits[mode].fit(t, at, dealt) for t in taus]
+                fits[mode] = _Resamples(x, y, planes[1], column, max_iter)
+            drawn = _Resample.of_blocks(len(y), starts, lengths, at, dealt)
+            return [fits[mode].fit(t, drawn) for t in taus]
 
         for batch in batches:
             rows = []
@@ -486,8 +608,7 @@ def bootstrap(spark: SparkSession, x: np.ndarray, y: np.ndarray, draws: dict[str
                     (b5, n5), (b9, n9) = [planes[0][t] for t in taus] if planes else [solve(x, y, t, max_iter) for t in taus]
                 else:
                     rng = np.random.default_rng(np.random.SeedSequence([seed, *label.encode(), len(mode), i]))
-                    at = block_indices(len(y), mean_length, rng)
-                    (b5, n5), (b9, n9) = fitted(mode, at, rng.permutation(x[at, column]) if mode == "placebo" else None)
+                    (b5, n5), (b9, n9) = fitted(mode, *_blocks(len(y), mean_length, rng), rng)
                 rows.append((label, mode, i, float(b9[column] - b5[column]), float(b5[column]), float(b9[column]), n5 < max_iter and n9 < max_iter))
             names = [c.split()[0] for c in DRAW_SCHEMA.split(", ")]
             yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows])

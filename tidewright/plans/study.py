@@ -490,10 +490,10 @@ def _draws(spark: SparkSession, d: str, real: int = 1000, placebo: int = 500) ->
             rows = out.filter(_estimable() & finite("vol_contraction_ratio") & F.col("universe_variant").isin([r[1] for r in runs]) & F.col("date").between(F.lit(TRAIN[0]).cast("date"), F.lit(end).cast("date")))
             for label, variant, _, with_placebo in runs:
                 of = rows.filter(F.col("universe_variant") == variant)
-                pdf = of.orderBy(*order).limit(quantreg.MOST_ROWS + 1).select(*TERMS["primary"], "fwd_ret_resid").toPandas()
-                x = np.column_stack([np.ones(len(pdf)), pdf[TERMS["primary"]].to_numpy(float)])
-                draws = quantreg.bootstrap(spark, x, pdf["fwd_ret_resid"].to_numpy(), {"real": real} | ({"placebo": placebo} if with_placebo else {}), f"{label}/{variant}", 20260514)
-                every.append(draws.withColumns({"train_start": F.lit(TRAIN[0]).cast("date"), "train_end": F.lit(end).cast("date"), "n_train": F.lit(len(pdf)).cast("bigint")}))
+                rows_of = of.orderBy(*order).limit(quantreg.MOST_ROWS + 1).select(*TERMS["primary"], "fwd_ret_resid").toArrow()
+                n, *x, y = rows_of.num_rows, *[c.to_numpy().astype(float) for c in rows_of.columns]
+                draws = quantreg.bootstrap(spark, np.column_stack([np.ones(n), *x]), y, {"real": real} | ({"placebo": placebo} if with_placebo else {}), f"{label}/{variant}", 20260514)
+                every.append(draws.withColumns({"train_start": F.lit(TRAIN[0]).cast("date"), "train_end": F.lit(end).cast("date"), "n_train": F.lit(n).cast("bigint")}))
             info["rows"].unpersist()
     finally:
         panel.unpersist()
@@ -517,8 +517,9 @@ def draw_counts_r12_r14_r17_r18_r19(spark: SparkSession, d: str) -> DataFrame:
 
 
 def inference_r15_r16(spark: SparkSession, d: str) -> DataFrame:
-    # the summary reads the draws three times
-    return _labelled(quantreg.inference(_draws(spark, d).persist()))
+    # the summary reads the draws three times, which are made once: one row a draw, as many whatever the panels hold
+    draws = _draws(spark, d)
+    return _labelled(quantreg.inference(spark.createDataFrame(draws.collect(), draws.schema)))
 
 
 QUERIES = {f.__name__: f for f in (
